@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerloom.llm import chunking, mixing, packing
+from ledgerloom.llm import chunking, mixing, packing, spans
 from ledgerloom.runtime import table
 
 
@@ -19,6 +19,20 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return chunking.split_oversized(s, "snapshot_id", "content", keep_small=False).withColumnRenamed("id", "snapshot_id")
 
 
+def _span_records(spark: SparkSession, d: str) -> DataFrame:
+    snaps = table(spark, d, "source_snapshots").select("snapshot_id", "source_id", "content")
+    return spans.project_records(snaps, table(spark, d, "evidence_refs").select("evidence_id", "snapshot_id", "quote"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared_pairs(_span_records(spark, d))
+
+
+def p4_shared(spark: SparkSession, d: str) -> DataFrame:
+    """How much of each record is shared elsewhere."""
+    return spans.shared_coverage(_span_records(spark, d))
+
+
 def _shares(spark: SparkSession, d: str) -> dict[str, float]:
     """mix_targets as a dict; it has one row per source, and more than packing.MAX_SOURCES are refused."""
     rows = table(spark, d, "mix_targets").where("source is not null and target_share is not null").limit(packing.MAX_SOURCES + 1).collect()
@@ -52,5 +66,5 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d)[1]
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p7_containers, p7_fill, p8_mix, p8_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p4_found, p4_shared, p7_containers, p7_fill, p8_mix, p8_shares)}
 SQL: dict[str, str] = {}
