@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerloom.llm import chunking, mixing, packing, spans
+from ledgerloom.llm import chunking, mixing, packing, spans, subjects
 from ledgerloom.runtime import table
 
 
@@ -66,5 +66,20 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d)[1]
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p4_found, p4_shared, p7_containers, p7_fill, p8_mix, p8_shares)}
+def _subject_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "subject_labels"), table(spark, d, "subject_areas")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.subjects(*_subject_tables(spark, d)).withColumnRenamed("id", "doc_id")
+
+
+def p9_corpus(spark: SparkSession, d: str) -> DataFrame:
+    """Sentences and documents of the corpus by area."""
+    s = subjects.subject_shares(*_subject_tables(spark, d))
+    deals = (F.col("hits") + 1e-9 >= F.col("sentences") * subjects.SHARE).cast("bigint")
+    return s.groupBy("subject").agg(F.sum("hits").alias("sentences"), F.sum(deals).alias("documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p4_found, p4_shared, p7_containers, p7_fill, p8_mix, p8_shares, p9_found, p9_corpus)}
 SQL: dict[str, str] = {}
