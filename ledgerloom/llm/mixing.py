@@ -42,7 +42,7 @@ def sized_texts(df: DataFrame, id_col: str, text_col: str, source_col: str, toke
 def _demand(pool: DataFrame, targets: DataFrame, total_tokens: int | None, curriculum: dict[str, tuple[float, float]], scratch: Scratch) -> DataFrame:
     """One row per targeted source: supply, cap, demand and the ends of its schedule."""
     t = targets.where("source is not null").groupBy("source").agg(F.max(F.greatest(F.coalesce("target_share", F.lit(0.0)), F.lit(0.0))).alias("target_share"), F.max(F.greatest(F.coalesce("max_repeats", F.lit(1)), F.lit(0))).cast("bigint").alias("max_repeats"))
-    t = t.withColumn("share", F.col("target_share") / F.sum("target_share").over(W.partitionBy(F.lit(0))))
+    t = t.withColumn("share", F.try_divide(F.col("target_share"), F.sum("target_share").over(W.partitionBy(F.lit(0)))))
     supply = pool.groupBy("source").agg(F.sum("n_tokens").alias("supply"), F.count("*").alias("texts"))
     d = t.join(supply, "source", "left").fillna({"supply": 0, "texts": 0})
     whole = F.lit(float(total_tokens)) if total_tokens is not None else F.sum("supply").over(W.partitionBy(F.lit(0))).cast("double")
@@ -81,10 +81,10 @@ def mix(sized: DataFrame, targets: DataFrame, *, total_tokens: int | None = None
     starts = sums.select("source", "b", F.coalesce(F.sum("m").over(W.partitionBy("source").orderBy("b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("at"))
     p = p.withColumn("c", F.coalesce(F.sum("n_tokens").over(in_block), F.lit(0))).join(starts, ["source", "b"])
     p = p.join(F.broadcast(d.select("source", "supply", "max_repeats", "demand", "w0", "w1")), "source").where("demand > 0")
-    passes = F.least(F.col("max_repeats"), F.ceil(F.col("demand") / F.col("supply"))).cast("int")
-    p = p.withColumn("copy", F.explode(F.sequence(F.lit(0), passes - 1)))
+    passes = F.least(F.col("max_repeats"), F.ceil(F.try_divide(F.col("demand"), F.col("supply").cast("double")))).cast("int")
+    p = p.withColumn("copy", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), passes) - 1)))
     mid = F.col("copy") * F.col("supply") + F.col("at") + F.col("c") + F.col("n_tokens") / 2
-    p = p.withColumn("u", mid / F.col("demand")).where("u < 1")
+    p = p.withColumn("u", F.try_divide(mid, F.col("demand"))).where("u < 1")
     # W(t) = (w0 t + (w1 - w0) t^2 / 2) / ((w0 + w1) / 2) = u
     bend = F.col("w1") - F.col("w0")
     t = F.when(F.abs(bend) < 1e-9, F.col("u")).otherwise((F.sqrt(F.col("w0") ** 2 + (F.col("w1") ** 2 - F.col("w0") ** 2) * F.col("u")) - F.col("w0")) / bend)
@@ -92,5 +92,5 @@ def mix(sized: DataFrame, targets: DataFrame, *, total_tokens: int | None = None
     got = out.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("uses"), (F.max("copy") + 1).alias("most_uses"))
     shares = d.join(got, "source", "left").fillna({"tokens": 0, "uses": 0, "most_uses": 0})
     whole = F.sum("tokens").over(W.partitionBy(F.lit(0)))
-    shares = shares.select("source", "target_share", F.when(whole > 0, F.col("tokens") / whole).otherwise(0.0).alias("actual_share"), "tokens", "supply", "texts", "uses", "most_uses", "max_repeats", (F.col("demand") >= F.col("wanted")).alias("reached"))
+    shares = shares.select("source", "target_share", F.coalesce(F.try_divide(F.col("tokens"), whole), F.lit(0.0)).alias("actual_share"), "tokens", "supply", "texts", "uses", "most_uses", "max_repeats", (F.col("demand") >= F.col("wanted")).alias("reached"))
     return out.orderBy("position", "source", "id", "copy"), shares
