@@ -25,8 +25,8 @@ CURRICULUM = {"field_log": (1.4, 0.6), "transcript": (1.2, 0.8), "lore": (0.6, 1
 
 
 def sized_texts(df: DataFrame, id_col: str, text_col: str, source_col: str, tokenizer: str = TOKENIZER) -> DataFrame:
-    """id, source, n_tokens, digest of every row; null texts count as empty."""
-    rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"))
+    """id, source, n_tokens, digest of every row with an id; null texts count as empty."""
+    rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoding(tokenizer).encode_ordinary

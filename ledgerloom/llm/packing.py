@@ -86,10 +86,11 @@ def pack_sized(sized: DataFrame, shares: dict[str, float], *, capacity: int = CA
 
     `sized` has id, source, n_tokens. A container is (part, container). A text over capacity is cut into full pieces
     and a rest; every other text is one piece. Texts without tokens take a slot of size 0. Sources absent from
-    `shares` get their share of the corpus, and all shares are scaled to sum to 1; a null source is the source ''.
+    `shares` get their share of the corpus, and all shares are scaled to sum to 1; a null source is the source ''. Rows without an id, which no result could
+    name, are left out.
     """
     scratch = scratch or Scratch(sized.sparkSession)
-    docs = sized.select(F.col("id").cast("bigint").alias("id"), F.coalesce("source", F.lit("")).alias("source"), F.coalesce(F.col("n_tokens"), F.lit(0)).cast("bigint").alias("n_tokens"))
+    docs = sized.where("id is not null").select(F.col("id").cast("bigint").alias("id"), F.coalesce("source", F.lit("")).alias("source"), F.coalesce(F.col("n_tokens"), F.lit(0)).cast("bigint").alias("n_tokens"))
     docs = scratch.save(docs)
     total, rows = docs.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.count("*")).first()
     parts = max(1, -(-total // part_tokens), -(-rows // part_rows))

@@ -82,4 +82,11 @@ def p9_corpus(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p4_found, p4_shared, p7_containers, p7_fill, p8_mix, p8_shares, p9_found, p9_corpus)}
-SQL: dict[str, str] = {}
+_EOL = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
+_PARTS = f"regexp_split_to_array(content, '{_EOL}')"
+SQL: dict[str, str] = {
+    "p1_found": f"""with s as (select snapshot_id, max(content) as content from source_snapshots group by 1),
+l as (select snapshot_id, content, case when {_PARTS}[-1] = '' then {_PARTS}[:-2] else {_PARTS} end ln from s),
+o as (select * from l where octet_length(encode(content)) > 3000 or len(ln) > 60)
+select snapshot_id, 0::bigint line_no from o union all select snapshot_id, i from (select snapshot_id, unnest(ln) x, generate_subscripts(ln, 1) i from o) where octet_length(encode(x)) > 3000""",
+}

@@ -92,6 +92,18 @@ def token_starts(codes: np.ndarray, token_chars: int = TOKEN_CHARS) -> np.ndarra
     return np.flatnonzero(start | (since >= token_chars) | (none & (np.arange(len(codes)) >= token_chars)))
 
 
+def _kept_in_parts(text: str, min_chars: int, powers: dict) -> tuple[np.ndarray, ...]:
+    """kept_kmers of one very long text, part by part; the parts overlap so that any run lies within one."""
+    h, pos, size = [], [], []
+    for a in range(0, len(text), BATCH_CHARS):
+        _, x, p, n = kept_kmers([text[a : a + BATCH_CHARS + 2 * min_chars]], min_chars, powers)
+        h.append(x)
+        pos.append(p + a)
+        size.append(n)
+    pos, at = np.unique(np.concatenate(pos), return_index=True)
+    return np.zeros(len(pos), np.int64), np.concatenate(h)[at], pos, np.concatenate(size)[at]
+
+
 def kept_kmers(texts: list[str], min_chars: int, powers: dict) -> tuple[np.ndarray, ...]:
     """(record index, k-mer hash, position in the record, length) of the kept k-mers of each text, in order."""
     codes = _codes(texts)
@@ -123,10 +135,10 @@ def kept_kmers(texts: list[str], min_chars: int, powers: dict) -> tuple[np.ndarr
 def _in_batches(keys: list, texts: list[str]) -> Iterator[tuple[list, list[str]]]:
     a, n = 0, 0
     for i, t in enumerate(texts):
+        if n and n + len(t) > BATCH_CHARS:
+            yield keys[a:i], texts[a:i]
+            a, n = i, 0
         n += len(t)
-        if n >= BATCH_CHARS:
-            yield keys[a : i + 1], texts[a : i + 1]
-            a, n = i + 1, 0
     if a < len(texts):
         yield keys[a:], texts[a:]
 
@@ -137,7 +149,8 @@ def _kmer_rows(min_chars: int):
         for b in batches:
             ids = np.stack([b.column("rec").to_numpy(), b.column("owner").to_numpy()], axis=1)
             for part, texts in _in_batches(list(range(len(ids))), b.column("text").to_pylist()):
-                rec, h, pos, size = kept_kmers(texts, min_chars, powers)
+                long = len(texts) == 1 and len(texts[0]) > BATCH_CHARS + 2 * min_chars
+                rec, h, pos, size = _kept_in_parts(texts[0], min_chars, powers) if long else kept_kmers(texts, min_chars, powers)
                 own = ids[np.asarray(part, np.int64)[rec]] if len(rec) else np.zeros((0, 2), np.int64)
                 first = np.searchsorted(rec, rec)
                 yield pa.RecordBatch.from_arrays(
@@ -148,6 +161,20 @@ def _kmer_rows(min_chars: int):
     return run
 
 
+def _run_hashes(text: str, a: np.ndarray, min_chars: int, powers: dict) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit hashes of the runs that start at the sorted places a, stretch by stretch of the text."""
+    out1, out2 = [], []
+    at = 0
+    while at < len(a):
+        to = int(np.searchsorted(a, a[at] + BATCH_CHARS))
+        codes = _codes([text[a[at] : a[to - 1] + min_chars]])
+        p = a[at:to] - a[at]
+        for out, base in ((out1, _B1), (out2, _B2)):
+            out.append(_mix(_Roller(codes, base, powers).hash(p, p + min_chars)).view(np.int64))
+        at = to
+    return np.concatenate(out1), np.concatenate(out2)
+
+
 def _run_rows(min_chars: int, once: bool):
     """The runs of min_chars around the ends of each compacted path, with 128-bit hashes."""
 
@@ -169,8 +196,7 @@ def _run_rows(min_chars: int, once: bool):
                 a = np.flatnonzero(np.cumsum(at)[:n] > 0)
                 if not len(a):
                     continue
-                codes = _codes([text])
-                h1, h2 = (_mix(_Roller(codes, base, powers).hash(a, a + min_chars)).view(np.int64) for base in (_B1, _B2))
+                h1, h2 = _run_hashes(text, a, min_chars, powers)
                 if once:
                     order = np.lexsort((h2, h1))
                     new = np.ones(len(order), bool)
@@ -295,14 +321,15 @@ def shared_coverage(records: DataFrame, min_chars: int = 180, scratch: Scratch |
 def project_records(snapshots: DataFrame, evidence: DataFrame, min_chars: int = 180, scratch: Scratch | None = None) -> DataFrame:
     """key, probe, rec, owner, text: snapshots with their source, and quotes with the source they cite.
 
-    Evidence whose cited snapshot is absent is left out, as are texts shorter than min_chars.
+    Evidence whose cited snapshot is absent is left out, as are texts shorter than min_chars and rows without an id
+    or a source.
     """
     from ledgerloom.functions.temporal import reference_key
 
     scratch = scratch or Scratch(snapshots.sparkSession)
     number = lambda kind, c: F.xxhash64(F.lit(kind), c)
-    full = snapshots.where(F.length("content") >= min_chars).select(F.col("snapshot_id").alias("key"), F.lit(False).alias("probe"), number("snapshot", F.col("snapshot_id")).alias("rec"), F.xxhash64("source_id").alias("owner"), F.col("content").alias("text"))
-    owners = snapshots.select(F.lower("snapshot_id").alias("k"), F.xxhash64("source_id").alias("owner")).groupBy("k").agg(F.min("owner").alias("owner"))
+    full = snapshots.where((F.length("content") >= min_chars) & F.col("snapshot_id").isNotNull() & F.col("source_id").isNotNull()).select(F.col("snapshot_id").alias("key"), F.lit(False).alias("probe"), number("snapshot", F.col("snapshot_id")).alias("rec"), F.xxhash64("source_id").alias("owner"), F.col("content").alias("text"))
+    owners = snapshots.where("source_id is not null").select(F.lower("snapshot_id").alias("k"), F.xxhash64("source_id").alias("owner")).groupBy("k").agg(F.min("owner").alias("owner"))
     long_quotes = evidence.where(F.length("quote") >= min_chars)
     # the text is joined by the evidence's own id, which no hot snapshot can crowd
     cited = long_quotes.select("evidence_id", reference_key(F.col("snapshot_id")).alias("k")).distinct().join(owners, "k").groupBy("evidence_id").agg(F.min("owner").alias("owner"))

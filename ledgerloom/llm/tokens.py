@@ -26,9 +26,9 @@ def encoding(tokenizer: str = TOKENIZER):
 
 
 def token_counts(df: DataFrame, id_col: str, text_col: str, carry: list[str], tokenizer: str = TOKENIZER) -> DataFrame:
-    """id, the carried columns, n_tokens of each row; a null text has 0 tokens, like an empty one."""
+    """id, the carried columns, n_tokens of each row; a null text has 0 tokens, like an empty one; rows without an id are left out."""
     kept = [F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate(carry)]
-    rows = df.select(F.col(id_col).cast("bigint").alias("id"), *kept, F.col(text_col).alias("text"))
+    rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), *kept, F.col(text_col).alias("text"))
     names = ["id", *(f"c{i}" for i in range(len(carry)))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

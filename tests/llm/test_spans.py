@@ -93,3 +93,14 @@ def test_kept_kmers_are_the_same_in_any_surroundings():
         _, h, pos, size = S.kept_kmers([text], 180, powers)
         marks.append({int(x) for x, p, n in zip(h, pos, size) if p >= at and p + n <= at + 180})
     assert all(m & marks[0] for m in marks)
+
+
+def test_very_long_text_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(S, "BATCH_CHARS", 700)
+    rng = random.Random(8)
+    a, b = _words(rng, 900), _words(rng, 700)
+    rows = [("a", False, 1, 1, a), ("b", False, 2, 2, b[:2000] + a[600:790] + b[2000:] + a[3000:3179])]
+    assert len(a) > 5_000
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert {tuple(r) for r in S.shared_pairs(df).collect()} == _brute(rows, 180)[0] == {("a", "b")}
+    assert {r.key: r.shared_chars for r in S.shared_coverage(df).collect()} == _brute(rows, 180)[1]
