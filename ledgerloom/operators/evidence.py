@@ -17,16 +17,16 @@ CODES = (
 
 
 def with_lines(evidence: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """evidence_id, claim_key, snapshot_key, span, quote, content_hash with content, line_count and source_id cited.
+    """evidence_id, claim_key, snapshot_key, span, quote, content_hash with lines, line_count and source_id cited.
 
-    One row per evidence id (redeliveries once). The evidence side is joined without its quotes twice over: texts
-    travel once, and a snapshot that very many rows cite is split by the adaptive skew join.
+    One row per evidence id (redeliveries once). A content is split into lines once per snapshot, before the join; a
+    snapshot that very many rows cite is split over tasks by the adaptive skew join.
     """
     e = evidence.select(
         "evidence_id", reference_key(F.col("claim_id")).alias("claim_key"), reference_key(F.col("snapshot_id")).alias("snapshot_key"),
         "start_line", "end_line", "quote", "content_hash",
     ).dropDuplicates(["evidence_id"])
-    s = current_snapshots(snapshots, "source_id", "content", "line_count").select(F.lower("snapshot_id").alias("snapshot_key"), "source_id", "content", "line_count", F.lit(True).alias("there"))
+    s = current_snapshots(snapshots, "source_id", "content", "line_count").select(F.lower("snapshot_id").alias("snapshot_key"), "source_id", source_lines(F.col("content")).alias("lines"), "line_count", F.lit(True).alias("there"))
     return e.join(s, "snapshot_key", "left")
 
 
@@ -42,9 +42,7 @@ def issues(claims: DataFrame, evidence: DataFrame, snapshots: DataFrame, sources
     cited = with_lines(evidence, snapshots)
     # the short columns of sources and claims meet ids only; the texts follow once
     j = cited.join(owner, "source_id", "left").join(c, "claim_key")
-    lines = source_lines(F.col("content"))
-    n = F.size("lines")
-    j = j.withColumn("lines", lines).withColumn("n", F.when(F.col("content").isNotNull(), n))
+    j = j.withColumn("n", F.when(F.col("lines").isNotNull(), F.size("lines")))
     ranged = F.col("start_line").isNotNull() & F.col("end_line").isNotNull()
     possible = (F.col("start_line") >= 1) & (F.col("end_line") >= F.col("start_line"))
     inside = possible & (F.col("end_line") <= F.col("n"))
@@ -53,7 +51,7 @@ def issues(claims: DataFrame, evidence: DataFrame, snapshots: DataFrame, sources
     j = j.withColumn("expected", expected)
     stored = plain_digest(F.col("content_hash"))
     issue = lambda cond, code: F.when(cond, F.lit(code))
-    early = F.when(F.col("snapshot_key").isNull(), "SNAPSHOT_ID_REQUIRED").when(~ranged, "INVALID_LINE_RANGE").when(F.col("there").isNull(), "SNAPSHOT_NOT_FOUND").when(F.col("content").isNull(), "SNAPSHOT_CONTENT_MISSING")
+    early = F.when(F.col("snapshot_key").isNull(), "SNAPSHOT_ID_REQUIRED").when(~ranged, "INVALID_LINE_RANGE").when(F.col("there").isNull(), "SNAPSHOT_NOT_FOUND").when(F.col("lines").isNull(), "SNAPSHOT_CONTENT_MISSING")
     rest = F.array(
         issue(blank("source_continuity"), "SNAPSHOT_CONTINUITY_MISSING"),
         issue(~blank("source_continuity") & ~blank("continuity") & (F.col("source_continuity") != F.col("continuity")), "CONTINUITY_MISMATCH"),
@@ -74,6 +72,6 @@ def issues(claims: DataFrame, evidence: DataFrame, snapshots: DataFrame, sources
 
 def built(spans: DataFrame, snapshots: DataFrame) -> DataFrame:
     """evidence_id, quote, content_hash built from the cited lines; nulls where the span cannot be read."""
-    j = with_lines(spans, snapshots).withColumn("lines", source_lines(F.col("content")))
+    j = with_lines(spans, snapshots)
     q = line_quote(F.col("lines"), F.col("start_line"), F.col("end_line"))
     return j.select("evidence_id", q.alias("quote")).withColumn("content_hash", F.sha2("quote", 256))

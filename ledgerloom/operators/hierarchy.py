@@ -19,6 +19,8 @@ from ledgerloom.runtime import Scratch
 
 #: Node numbers per block when siblings are put in order.
 SIBLING_BLOCK = 50_000
+#: Rounds of list ranking after which finished lists are taken out.
+PRUNE_EVERY = 3
 #: Rows per numbering bucket.
 NUMBER_BLOCK = 100_000
 
@@ -140,6 +142,7 @@ def _tour(numbered: DataFrame, edges: DataFrame, circle: DataFrame, scratch: Scr
     live = start.where("nxt is not null").join(ends.select(F.col("e").alias("nxt"), F.lit(True).alias("done")), "nxt", "left")
     live = scratch.save(live.select("e", "nxt", F.lit(1).cast("long").alias("d"), "w", "head", F.coalesce("done", F.lit(False)).alias("done")))
     finished: list[DataFrame] = [start.where("nxt is null").select("e", F.col("e").alias("last"), F.lit(0).cast("long").alias("d"), F.lit(0).cast("long").alias("w"))]
+    rounds = 0
     while True:
         waiting = live.where("not done")
         n = waiting.count()
@@ -150,6 +153,10 @@ def _tour(numbered: DataFrame, edges: DataFrame, circle: DataFrame, scratch: Scr
         moved = waiting.join(step, "nxt").select("e", F.col("nxt2").alias("nxt"), (F.col("d") + F.col("d2")).alias("d"), (F.col("w") + F.col("w2")).alias("w"), "head", F.col("done2").alias("done"))
         new = scratch.save(live.where("done").unionByName(moved))
         scratch.drop(live)
+        rounds += 1
+        if rounds % PRUNE_EVERY:
+            live = new
+            continue
         # lists whose head is done are ranked as a whole and leave the loop
         whole = new.where("head and done").select("nxt").distinct()
         done = new.where("done")

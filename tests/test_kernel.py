@@ -208,3 +208,12 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [tuple(r) for r in spark.sql("select * from links").collect()] == [("a", 3, "LINK_MISMATCH")]
+
+
+def test_cli(spark, tmp_path, capsys):
+    from ledgerloom import cli
+
+    assert cli.main(["list"]) == 0 and "p2_found" in capsys.readouterr().out
+    assert cli.main(["run", "nothing", str(tmp_path)]) == 2
+    (tmp_path / "a.md").write_text("a‮b\n")
+    assert cli.main(["texts", str(tmp_path)]) == 3 and "UNSAFE_CONTROL 1" in capsys.readouterr().out
