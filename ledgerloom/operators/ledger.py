@@ -50,3 +50,37 @@ def entries(ledger: DataFrame, *, after: int = 0, event_types: list[str] | None
         out = out.where(F.col("aggregate_type") == aggregate_type)
     out = out.orderBy("sequence")
     return out if limit is None else out.limit(limit)
+
+
+#: Entries of one append; a chain of hashes is sequential, so a batch is linked by one task and has to be small.
+MAX_BATCH = 250_000
+
+
+def linked(batch: DataFrame, order: str, last_sequence: int, last_hash: str = GENESIS) -> DataFrame:
+    """The entries of a batch with sequence, previous_hash and entry_hash, ready to append after last_sequence.
+
+    batch has the other columns of MATERIAL and an order column. More than MAX_BATCH entries are refused; verification
+    (`chain_issues`) has no such bound.
+    """
+    import hashlib
+    import json
+
+    import pandas as pd
+
+    n = batch.count()
+    if n > MAX_BATCH:
+        raise ValueError(f"{n} entries in one append; link at most {MAX_BATCH} at a time")
+    own = [c for c in MATERIAL if c not in ("sequence", "previous_hash")]
+
+    def link(rows: pd.DataFrame) -> pd.DataFrame:
+        seq, before, out = last_sequence, last_hash, []
+        for r in rows.sort_values(order)[own].to_dict("records"):
+            seq += 1
+            entry = {k: (None if pd.isna(v) else v) for k, v in r.items()} | {"previous_hash": before, "sequence": seq}
+            before = hashlib.sha256(json.dumps(entry, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+            out.append(entry | {"entry_hash": before})
+        return pd.DataFrame(out, columns=[*MATERIAL, "entry_hash"])
+
+    schema = ", ".join(f"{c} {'bigint' if c == 'sequence' else 'string'}" for c in [*MATERIAL, "entry_hash"])
+    rows = batch.select(F.col(order), F.lit(1).alias("one_batch"), *[F.col(c).cast("string").alias(c) for c in own])
+    return rows.groupBy("one_batch").applyInPandas(link, schema)

@@ -51,3 +51,29 @@ def lineage_issues(snapshots: DataFrame) -> DataFrame:
     fine = F.when(F.col("version") == 1, F.col("prev").isNull()).otherwise(F.coalesce(F.array_contains(F.col("was"), F.col("prev")), F.lit(False)))
     codes = F.array_compact(F.array(F.when(gap, "SNAPSHOT_VERSION_GAP"), F.when(~fine, "SNAPSHOT_CHAIN_BROKEN")))
     return j.select(F.explode(codes).alias("code"), "snapshot_id")
+
+
+def upsert(newest: DataFrame, deliveries: DataFrame, keys: list[str], order: str, id_col: str, text_col: str, width: int = BLOCK) -> DataFrame:
+    """The revisions that a batch of deliveries adds to sources that may have some: the columns of `allocate`.
+
+    newest: keys, id, version, content_hash of each source's newest revision (at most one per source; others start at
+    version 1). A delivery equal to what its source has already makes no revision. Append the result; nothing is
+    rewritten.
+    """
+    cols = [*keys, "_o", "_id", "content_hash", "_version"]
+    rows = deliveries.select(*keys, F.col(order).cast("long").alias("_o"), F.col(id_col).cast("string").alias("_id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("content_hash"), F.lit(None).cast("long").alias("_version"))
+    same = [F.col(f"n.{k}").eqNullSafe(F.col(f"t.{k}")) for k in keys]
+    on = same[0]
+    for c in same[1:]:
+        on = on & c
+    first = rows.groupBy(*keys).agg((F.min("_o") - 1).alias("_o"))
+    seeds = newest.alias("n").join(first.alias("t"), on).select(*[F.col(f"n.{k}").alias(k) for k in keys], F.col("t._o").alias("_o"), F.col("n.id").cast("string").alias("_id"), F.col("n.content_hash").alias("content_hash"), F.col("n.version").cast("long").alias("_version"))
+    seen = with_previous(rows.select(*cols).unionByName(seeds.select(*cols)), keys, ["_o"], {"_was": "content_hash"}, width)
+    kept = seen.where("_version is not null or _was is null or _was <> content_hash").drop("_was")
+    numbered = with_previous(kept, keys, ["_o"], {"previous_id": "_id"}, width, number="_n")
+    base = seeds.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], (F.col("_version") - 1).alias("_base"))
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    out = numbered.where("_version is null").join(base, on, "left")
+    return out.select(*keys, F.col("_id").alias("id"), "content_hash", (F.col("_n") + F.coalesce("_base", F.lit(0))).alias("version"), "previous_id")

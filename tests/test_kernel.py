@@ -217,3 +217,29 @@ def test_cli(spark, tmp_path, capsys):
     assert cli.main(["run", "nothing", str(tmp_path)]) == 2
     (tmp_path / "a.md").write_text("a‮b\n")
     assert cli.main(["texts", str(tmp_path)]) == 3 and "UNSAFE_CONTROL 1" in capsys.readouterr().out
+
+
+def test_upsert_continues_chains(spark):
+    schema = "k string, o bigint, text string"
+    first = [("s", 1, "A"), ("s", 2, "B"), ("t", 1, "X"), (None, 1, "N")]
+    later = [("s", 3, "B"), ("s", 4, "C"), ("s", 5, "C"), ("s", 6, "B"), ("u", 1, "U"), (None, 2, "M")]
+    a = R.allocate(spark.createDataFrame(first, schema), ["k"], "o", "o", "text")
+    newest = a.groupBy("k").agg(F.max_by(F.struct("id", "version", "content_hash"), "version").alias("x")).select("k", "x.*")
+    b = R.upsert(newest, spark.createDataFrame(later, schema), ["k"], "o", "o", "text", width=2)
+    whole = R.allocate(spark.createDataFrame(first + later, schema), ["k"], "o", "o", "text")
+    key = lambda df: sorted((str(r.k), str(r.id), r.version, str(r.previous_id)) for r in df.collect())
+    assert key(b) == [x for x in key(whole) if x not in key(a)]
+    assert R.upsert(newest.limit(0), spark.createDataFrame(first, schema), ["k"], "o", "o", "text").count() == 4
+
+
+def test_ledger_append(spark, monkeypatch):
+    rows = [(i, f"e{i}", "t", "claim", "a", '{"é":"\\""}', None if i == 3 else "2024-01-01T00:00:00Z") for i in range(20)]
+    batch = spark.createDataFrame(rows, "o int, entry_id string, event_type string, aggregate_type string, aggregate_id string, payload_json string, created_at string")
+    one = L.linked(batch.where("o < 12"), "o", 0)
+    last = one.orderBy(F.desc("sequence")).first()
+    two = L.linked(batch.where("o >= 12"), "o", last.sequence, last.entry_hash)
+    whole = one.unionByName(two)
+    assert L.chain_issues(whole).count() == 0 and whole.agg(F.max("sequence")).first()[0] == 20
+    monkeypatch.setattr(L, "MAX_BATCH", 5)
+    with pytest.raises(ValueError):
+        L.linked(batch, "o", 0)
