@@ -33,17 +33,13 @@ def p4_shared(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_coverage(_span_records(spark, d))
 
 
-def _shares(spark: SparkSession, d: str) -> dict[str, float]:
-    """mix_targets as a dict; it has one row per source, and more than packing.MAX_SOURCES are refused."""
-    rows = table(spark, d, "mix_targets").where("source is not null and target_share is not null").limit(packing.MAX_SOURCES + 1).collect()
-    if len(rows) > packing.MAX_SOURCES:
-        raise ValueError(f"a mixture of more than {packing.MAX_SOURCES} sources")
-    return {r.source: float(r.target_share) for r in rows}
-
-
 def p7_containers(spark: SparkSession, d: str) -> DataFrame:
-    """The container, slot and token range of every piece of every text."""
-    packed = packing.pack_documents(table(spark, d, "documents"), _shares(spark, d))
+    """The container, slot and token range of every piece of every text.
+
+    All texts come out, so the proportions every window is steered to are the corpus's own: others could only hold
+    until a source has run out.
+    """
+    packed = packing.pack_documents(table(spark, d, "documents"), {})
     return packed.withColumnRenamed("id", "doc_id")
 
 
