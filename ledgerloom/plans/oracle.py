@@ -120,6 +120,16 @@ ring as (select id from walk where id = anc),
 low as (select walk.id, min(walk.anc) root from walk join ring on walk.anc = ring.id group by 1)
 """
 
+_DOWN = _P2_FOUND.replace("down(id, root, d) as (select id, id, 0 from par where p is null union all select par.id, down.root, d + 1 from", "down(id, root, d, path) as (select id, id, 0, [id] from par where p is null union all select par.id, down.root, d + 1, list_append(down.path, par.id) from")
+
+_DIGESTED = ["access_policy", "claim_id", "confidence", "continuity", "object_value", "persona_id", "predicate", "subject", "text"]
+
+
+def _json_row(fields: list[str]) -> str:
+    part = lambda f: f"cast({f} as varchar)" if f == "confidence" else f"cast(to_json({f}) as varchar)"
+    return " || ',' || ".join(f"'\"{f}\":' || coalesce({part(f)}, 'null')" for f in fields)
+
+
 _P5 = f"""
 with st as (select 'source_snapshots' t, lower(snapshot_id) k, min({_epoch('created_at')}) born from source_snapshots group by 1, 2
   union all select 'claim_proposals', lower(claim_id), min({_epoch('created_at')}) from claim_proposals group by 1, 2),
@@ -149,6 +159,8 @@ w as (select *, max(e) over (partition by persona_id, continuity, subject, predi
 
 SQL: dict[str, str] = {
     "p2_found": _P2_FOUND + "select id snapshot_id, root root_snapshot_id, cast(d as bigint) depth from down union all select low.id, low.root, cast(case when low.id in (select id from ring) then -1 else -2 end as bigint) from low",
+    "p2_paths": _DOWN + "select id snapshot_id, root root_id, cast(d as bigint) depth, array_to_string(path, '/') path from down union all select low.id, low.root, cast(case when low.id in (select id from ring) then -1 else -2 end as bigint), null from low",
+    "p2_descendants": _DOWN + "select path[i] ancestor_id, id descendant_id, cast(d + 1 - i as bigint) distance from (select id, d, path, unnest(range(1, d + 1)) i from down)",
     "p5_found": _P5 + "select * from fd where kind is not null",
     "p5_report": _P5 + "select ref_field, period, kind, count(*) n from fd where kind is not null group by all",
     "p6_found": _P6 + f"select persona_id, continuity, subject, predicate, axis, {_iso('pe')} gap_from, {_iso('s')} gap_to from w where s > pe",
@@ -189,6 +201,7 @@ select evidence_id, sha256(x) content_hash, length(x) chars from q""",
     "claim_field_issues": f"""with c as (select * from {_CLAIMS})
 select 'CONFIDENCE_RANGE' code, claim_id "key" from c where confidence < 0 or confidence > 1 union all select 'TEXT_BYTES', claim_id from c where octet_length(encode(text)) > 200
 union all select 'SUBJECT_MISSING', claim_id from c where subject is null union all select 'PREDICATE_MISSING', claim_id from c where predicate is null union all select 'RATIONALE_MISSING', claim_id from c where rationale is null and status = 'REJECTED'""",
+    "claim_digests": f"select claim_id, sha256('{{' || {_json_row(_DIGESTED)} || '}}') digest from {_CLAIMS}",
     "evidence_set_digests": f"""with r as (select distinct {_key('claim_id')} claim_key, evidence_id, start_line, end_line from evidence_refs where {_key('claim_id')} is not null),
 x as (select claim_key, sha256('{{"end_line":' || coalesce(cast(end_line as varchar), 'null') || ',"evidence_id":"' || evidence_id || '","start_line":' || coalesce(cast(start_line as varchar), 'null') || '}}') d from r)
 select claim_key, count(*) n, sha256(string_agg(d, chr(10) order by d)) digest from x group by 1""",
