@@ -104,11 +104,22 @@ def _kept_in_parts(text: str, min_chars: int, powers: dict) -> tuple[np.ndarray,
     return np.zeros(len(pos), np.int64), np.concatenate(h)[at], pos, np.concatenate(size)[at]
 
 
+def _window(min_chars: int) -> int:
+    """The number of neighbouring places of whose k-mers the least is kept.
+
+    Whether a token starts in the first TOKEN_CHARS of a run hangs on what stands before it, and a k-mer may end
+    TOKEN_CHARS after its least length: the k-mers that start at the places between are the same in any surroundings.
+    No window is wider than a k-mer, so each kept k-mer of a record touches or overlaps the next and a path's
+    characters all lie in its k-mers.
+    """
+    return min(KMER_CHARS, min_chars - KMER_CHARS - 2 * TOKEN_CHARS)
+
+
 def kept_kmers(texts: list[str], min_chars: int, powers: dict) -> tuple[np.ndarray, ...]:
     """(record index, k-mer hash, position in the record, length) of the kept k-mers of each text, in order."""
     codes = _codes(texts)
     bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-    window = min_chars - KMER_CHARS - TOKEN_CHARS
+    window = _window(min_chars)
     starts = np.concatenate([token_starts(codes[a:b]) + a for a, b in zip(bounds[:-1], bounds[1:])] or [np.zeros(0, np.int64)])
     nxt = np.searchsorted(starts, starts + KMER_CHARS)
     ok = nxt < len(starts)
@@ -233,8 +244,9 @@ class Shared:
 
 def shared_paths(records: DataFrame, min_chars: int = 180, scratch: Scratch | None = None) -> Shared:
     """Compacted paths of repeated token k-mers. records: rec (64-bit number), owner (64-bit number), text."""
-    if min_chars < KMER_CHARS + 2 * TOKEN_CHARS:
-        raise ValueError(f"min_chars must be at least {KMER_CHARS + 2 * TOKEN_CHARS}")
+    # a window holds a token start when it has TOKEN_CHARS places
+    if _window(min_chars) < TOKEN_CHARS:
+        raise ValueError(f"min_chars must be at least {KMER_CHARS + 3 * TOKEN_CHARS}")
     scratch = scratch or Scratch(records.sparkSession)
     long_enough = records.where(F.length("text") >= min_chars)
     kmers = scratch.save(long_enough.select("rec", "owner", "text").mapInArrow(_kmer_rows(min_chars), "rec bigint, owner bigint, h bigint, seq int, pos int, size int"))

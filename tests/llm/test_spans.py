@@ -104,3 +104,46 @@ def test_very_long_text_in_parts(spark, monkeypatch):
     df = spark.createDataFrame(rows, SCHEMA)
     assert {tuple(r) for r in S.shared_pairs(df).collect()} == _brute(rows, 180)[0] == {("a", "b")}
     assert {r.key: r.shared_chars for r in S.shared_coverage(df).collect()} == _brute(rows, 180)[1]
+
+
+def _template_rows(seed):
+    """Texts of one template: the same words, with digits that differ at the same places now and then."""
+    rng = random.Random(seed)
+    base = "".join(rng.choice("abcdefgh") + ("" if rng.random() < 0.8 else " ") for _ in range(6_000))
+    rows = []
+    for i in range(4):
+        own = random.Random(seed * 10 + i)
+        text = list(base)
+        at = 100
+        while at < len(text):
+            text[at] = own.choice("0123456789")
+            at += _step(seed, at)
+        rows.append((f"t{i}", False, i, i, "".join(text)))
+    return rows
+
+
+def _step(seed, at):
+    return random.Random(seed * 100_003 + at).choice([80, 120, 170, 181, 185, 200, 260])
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_templates_with_fields_of_equal_length(spark, seed):
+    rows = _template_rows(seed)
+    pairs, shared = _brute(rows, 180)
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert {tuple(r) for r in S.shared_pairs(df).collect()} == pairs
+    assert {r.key: r.shared_chars for r in S.shared_coverage(df).collect()} == shared
+
+
+def test_kept_kmers_cover_a_record_and_are_found_inside_long_tokens():
+    rng = random.Random(4)
+    powers: dict = {}
+    for _ in range(300):
+        shared = "".join(rng.choice("abcdefgh") + rng.choice(["", "", "", "", "", "", " "]) for _ in range(180))[:180]
+        marks = []
+        for _ in range(2):
+            head = rng.choice(["", " "]) + "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(40)))
+            _, h, pos, size = S.kept_kmers([head + shared + "ab" * 40], 180, powers)
+            assert (pos[1:] <= pos[:-1] + size[:-1]).all()
+            marks.append({int(x) for x, p, n in zip(h, pos, size) if p >= len(head) and p + n <= len(head) + 180})
+        assert marks[0] & marks[1]
