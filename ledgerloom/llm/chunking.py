@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from ledgerloom.functions.text import LINE_END, line_count
 
-_EOL = r"(?:\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ])"
+# atomic: a CRLF is never taken for two line ends
+_EOL = r"(?>\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ])"
 _EOL_RE = re.compile(_EOL)
 LEVELS = ("section", "paragraph", "line", "sentence", "word", "character")
 #: What stands before a boundary of each level but line and character; the boundary is where the match ends.

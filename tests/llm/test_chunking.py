@@ -60,6 +60,17 @@ def test_natural_boundaries_first():
     assert all(why in ("start", "section", "paragraph", "line", "sentence") for *_, why in pieces)
 
 
+@pytest.mark.parametrize("eol", ["\n", "\r\n", "\r"])
+def test_sections_and_paragraphs_whatever_the_line_end(eol):
+    ends = lambda level, text: [m.end() for m in C._BEFORE[level].finditer(text)]
+    line, blank = f"a{eol}b", f"a{eol}{eol}b"
+    assert ends("paragraph", line) == ends("section", line) == ends("section", blank) == []
+    assert ends("paragraph", blank) == [len(blank) - 1]
+    two = f"a{eol}{eol}{eol}b"
+    assert ends("section", two) == [len(two) - 1]
+    assert ends("section", f"a{eol}# b") == [1 + len(eol)]
+
+
 def test_operator(spark):
     long_line = "x" * 3001
     rows = [("a", "short"), ("b", "l\n" * 61), ("c", long_line + "\n" + "y " * 2000 + "\nz"), ("c", long_line + "\n" + "y " * 2000 + "\nz"), ("d", None), ("e", ""), ("f", "x" * 3000), ("g", "l\n" * 60)]
