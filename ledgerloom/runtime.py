@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings sources source_snapshots "
@@ -42,17 +43,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_root(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir where the session names one.
 
-    Only a session without that setting (tests, a laptop) gets a folder of its own.
+    Only a session on a local master (tests, a laptop), whose executors are the driver itself, may go without that
+    setting and gets a folder of its own; on any other master each executor would write to its own disk, so it is
+    refused.
     """
     sc = spark.sparkContext
     root = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {sc.master} share")
         root = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
         sc.setCheckpointDir(root)
         root = sc.getCheckpointDir()
     return root.rstrip("/")
 
 
+#: Rows of a few short columns (some 50 MB) that may be broadcast, after they have been counted.
+BROADCAST_ROWS = 500_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, to be broadcast if it was counted to have at most so many rows, else to be joined as it is.
+
+    df has to be a written table (see Scratch.save), so that the count is cheap and holds.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 class Scratch:
     """Intermediate tables written to the shared folder, which cuts lineage and survives lost executors.
 

@@ -160,3 +160,42 @@ def test_cells_and_numbers():
     assert D.table_entries("| entry | item |\n|:--|--:|\n| A | x \\| y |\n") == [{"entry": "A", "item": "x | y", "holder": "", "place": "", "count": "", "note": ""}]
     assert D.json_entries('[{"entry": "A", "count": 1.50, "note": null}]')[0]["count"] == "1.50"
     assert D.json_entries("[NaN]") is None and D.json_entries('"text"') == []
+
+
+def test_shared_folder_is_needed_off_local_masters(spark, monkeypatch):
+    from ledgerloom import runtime
+
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context()
+        conf = type("Conf", (), {"get": staticmethod(lambda k, d=None: d)})()
+
+    with pytest.raises(ValueError):
+        runtime.shared_root(Session())
+    Session.conf = type("Conf", (), {"get": staticmethod(lambda k, d=None: "file:///shared/")})()
+    assert runtime.shared_root(Session()) == "file:///shared"
+
+
+def test_orphans_of_a_hot_key_and_of_the_month_a_key_was_born(spark):
+    refs = [(f"e{i}", "hot" if i % 3 else "gone", f"2024-0{1 + i % 3}-{10 + i % 15}T00:00:00Z") for i in range(3000)] + [("x", None, "2024-01-01"), ("y", " HOT ", "bad"), ("z", "nowhere", "2024-05-01")]
+    t = {"r": spark.createDataFrame(refs, "rid string, ref string, created_at string"), "t": spark.createDataFrame([("hot", "2024-02-15")], "tid string, created_at string")}
+    withdrawn = spark.createDataFrame([("t", "GONE ")], "original_table string, legacy_key string")
+    own, targets = [O.Reference("r.ref", "r", "rid", "ref", "t")], [O.Target("t", "tid")]
+    want = set()
+    for rid, k, at in refs:
+        k = (k or "").strip().lower()
+        if k == "gone":
+            want.add((rid, "deleted", at[:7]))
+        elif k == "nowhere":
+            want.add((rid, "missing", at[:7]))
+        elif k == "hot" and at < "2024-02-15" and at != "bad":
+            want.add((rid, "late", at[:7]))
+    got = {tuple(r) for r in O.orphan_references(t, own, targets, withdrawn).select("row_key", "kind", "period").collect()}
+    assert got == want
+    from collections import Counter
+
+    counted = Counter((p, k) for _, k, p in want)
+    assert {(r.period, r.kind): r.n for r in O.orphan_report(t, own, targets, withdrawn).collect()} == dict(counted)
