@@ -1,8 +1,10 @@
 """References to records that do not exist, were withdrawn, or came later.
 
-References are pre-aggregated per key and period. Keys named by more than one reference in HEAVY_SHARE are heavy;
-there can be at most HEAVY_SHARE of them, so their state is small enough to broadcast whatever the data (the bound is
-checked). All other keys meet their targets in a shuffle join; both parts are united.
+References are pre-aggregated per key and period: how many there are, the first and the last. A group is an orphan as a
+whole, or not at all, but for the one period in which its key was born: there only the rows before that instant are
+late, and only such groups are opened again. Keys named by more than one reference in HEAVY_SHARE are heavy; there can
+be at most HEAVY_SHARE of them, so their state is small enough to broadcast whatever the data (the bound is checked).
+All other keys meet their targets in a shuffle join; both parts are united.
 """
 
 from __future__ import annotations
@@ -56,32 +58,60 @@ def key_states(tables: dict[str, DataFrame], targets: list[Target], withdrawn: D
     return out.where("key is not null").groupBy("target", "key").agg(F.min("born").alias("born"), F.max("there").alias("there"), F.max("gone").alias("gone"))
 
 
-def _kind() -> F.Column:
+def _grouped(refs: DataFrame) -> DataFrame:
+    """ref_field, target, key, period, n, first, last: references per key and month."""
+    return refs.groupBy("ref_field", "target", "key", month_text(F.col("at")).alias("period")).agg(F.count("*").alias("n"), F.min("at").alias("first"), F.max("at").alias("last"))
+
+
+def _orphan_groups(groups: DataFrame, states: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
+    """The groups with an orphan: their columns, born and kind (`split`: late are the rows before born); and heavy keys."""
+    total = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    counts = groups.groupBy("target", "key").agg(F.sum("n").alias("refs"))
+    heavy = scratch.save(counts.where(F.col("refs") * HEAVY_SHARE > F.lit(total)).select("target", "key"))
+    n_heavy = heavy.count()
+    if n_heavy > HEAVY_SHARE:
+        raise AssertionError(f"{n_heavy} heavy keys; by their definition there are at most {HEAVY_SHARE}")
+    if n_heavy == 0:
+        heavy, resolved = None, groups.join(states, ["target", "key"], "left")
+    else:
+        few = F.broadcast(heavy)
+        # at most one row for each heavy key
+        heavy_states = scratch.save(states.join(few, ["target", "key"], "left_semi"))
+        known = groups.join(few, ["target", "key"], "left_semi").join(F.broadcast(heavy_states), ["target", "key"], "left")
+        resolved = known.unionByName(groups.join(few, ["target", "key"], "left_anti").join(states, ["target", "key"], "left"))
     there = F.coalesce(F.col("there"), F.lit(False))
-    return (
-        F.when(there & (F.col("born") > F.col("at")), "late")
+    kind = (
+        F.when(there & (F.col("born") > F.col("last")), "late")
+        .when(there & (F.col("born") > F.col("first")), "split")
         .when(there, F.lit(None))
         .when(F.coalesce(F.col("gone"), F.lit(False)), "deleted")
         .otherwise("missing")
     )
+    return resolved.select("ref_field", "target", "key", "period", "n", "born", kind.alias("kind")).where("kind is not null"), heavy
 
 
-def _resolved(refs: DataFrame, states: DataFrame, scratch: Scratch) -> DataFrame:
-    """refs (with target, key, at, n) joined with the state of what they name; heavy keys by broadcast."""
-    refs = scratch.save(refs)
-    total = refs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    counts = refs.groupBy("target", "key").agg(F.sum("n").alias("refs"))
-    heavy = scratch.save(counts.where(F.col("refs") * HEAVY_SHARE > F.lit(total)).select("target", "key"), partitions=1)
-    n_heavy = heavy.count()
-    if n_heavy == 0:
-        return refs.join(states, ["target", "key"], "left")
-    if n_heavy > HEAVY_SHARE:
-        raise AssertionError(f"{n_heavy} heavy keys; by their definition there are at most {HEAVY_SHARE}")
-    few = F.broadcast(heavy)
-    heavy_states = scratch.save(heavy.join(states.join(few, ["target", "key"], "left_semi"), ["target", "key"], "left"), partitions=1)
-    known = refs.join(F.broadcast(heavy_states), ["target", "key"])
-    rest = refs.join(few, ["target", "key"], "left_anti").join(states, ["target", "key"], "left")
-    return known.unionByName(rest)
+#: Parts that the rows of a heavy key and period are cut into where they meet their group in a shuffle.
+PARTS = 64
+
+
+def _opened(refs: DataFrame, groups: DataFrame, heavy: DataFrame | None) -> DataFrame:
+    """ref_field, row_key, kind, period of the rows of orphan groups; late rows of split groups are told one by one.
+
+    Rows of heavy keys are cut into PARTS by their own key, each part with a copy of the group, so no task gets all.
+    """
+    own = groups.select("ref_field", "target", "key", F.coalesce("period", F.lit("")).alias("p"), "born", "kind")
+    rows = refs.withColumn("period", month_text(F.col("at"))).withColumn("p", F.coalesce("period", F.lit("")))
+    on = ["ref_field", "target", "key", "p"]
+    if heavy is None:
+        j = rows.join(own, on)
+    else:
+        few = F.broadcast(heavy)
+        name = ["target", "key"]
+        cut = rows.join(few, name, "left_semi").withColumn("part", F.pmod(F.xxhash64("row_key"), F.lit(PARTS)).cast("int"))
+        copies = own.join(few, name, "left_semi").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        j = rows.join(few, name, "left_anti").join(own.join(few, name, "left_anti"), on).unionByName(cut.join(copies, [*on, "part"]).drop("part"))
+    late = F.when(F.col("kind") != "split", F.col("kind")).when(F.col("born") > F.col("at"), "late")
+    return j.select("ref_field", "row_key", late.alias("kind"), "period").where("kind is not null")
 
 
 def orphan_references(tables: dict[str, DataFrame], refs: list[Reference], targets: list[Target], withdrawn: DataFrame, scratch: Scratch | None = None) -> DataFrame:
@@ -91,17 +121,20 @@ def orphan_references(tables: dict[str, DataFrame], refs: list[Reference], targe
     never late; so is a reference to a row without a readable time. Null row keys are kept as one row key.
     """
     scratch = scratch or Scratch(withdrawn.sparkSession)
-    r = references(tables, refs).withColumn("n", F.lit(1).cast("long"))
-    out = _resolved(r, key_states(tables, targets, withdrawn), scratch).withColumn("kind", _kind())
-    return out.where("kind is not null").select("ref_field", "row_key", "kind", month_text(F.col("at")).alias("period"))
+    rows = scratch.save(references(tables, refs))
+    groups, heavy = _orphan_groups(scratch.save(_grouped(rows)), key_states(tables, targets, withdrawn), scratch)
+    return _opened(rows, groups, heavy)
 
 
 def orphan_report(tables: dict[str, DataFrame], refs: list[Reference], targets: list[Target], withdrawn: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """ref_field, period, kind, n: orphan references per table field and month, from pre-aggregated references."""
+    """ref_field, period, kind, n: orphan references per table field and month, from references per key and period."""
     scratch = scratch or Scratch(withdrawn.sparkSession)
-    r = references(tables, refs).groupBy("ref_field", "target", "key", "at").agg(F.count("*").alias("n"))
-    out = _resolved(r, key_states(tables, targets, withdrawn), scratch).withColumn("kind", _kind())
-    return out.where("kind is not null").groupBy("ref_field", month_text(F.col("at")).alias("period"), "kind").agg(F.sum("n").alias("n"))
+    rows = scratch.save(references(tables, refs))
+    groups, heavy = _orphan_groups(scratch.save(_grouped(rows)), key_states(tables, targets, withdrawn), scratch)
+    groups = scratch.save(groups)
+    whole = groups.where("kind <> 'split'").select("ref_field", "period", "kind", "n")
+    late = _opened(rows, groups.where("kind = 'split'"), heavy).select("ref_field", "period", "kind", F.lit(1).cast("bigint").alias("n"))
+    return whole.unionByName(late).groupBy("ref_field", "period", "kind").agg(F.sum("n").alias("n"))
 
 
 PROJECT_REFERENCES = [
