@@ -11,15 +11,15 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerloom.functions.temporal import reference_key
-from ledgerloom.runtime import Scratch
+from ledgerloom.runtime import Scratch, small
 
-FIELDS = ("item", "holder", "place", "count", "note")
-KEY = "entry"
 #: One key in so many ends a chunk.
 CHUNK_KEYS = 16
 
@@ -44,19 +44,28 @@ def _refuse(name: str) -> None:
     raise ValueError(name)
 
 
-def json_entries(content: str) -> list[dict[str, str]] | None:
+@dataclass(frozen=True)
+class Layout:
+    """How entries are named: the column or field that is their key, those compared, and the list within an object."""
+
+    key: str = "entry"
+    fields: tuple[str, ...] = ("item", "holder", "place", "count", "note")
+    under: str = "entries"
+
+
+def json_entries(content: str, layout: Layout = Layout()) -> list[dict[str, str]] | None:
     """The entries of a JSON register; None when the text is not valid JSON."""
     try:
         doc = json.loads(content.removeprefix("﻿"), parse_int=_Number, parse_float=_Number, parse_constant=_refuse)
     except (ValueError, RecursionError):
         return None
     if isinstance(doc, dict):
-        doc = doc.get("entries")
+        doc = doc.get(layout.under)
     rows = doc if isinstance(doc, list) else []
-    return [{k: _text(r.get(k)) for k in (KEY, *FIELDS)} for r in rows if isinstance(r, dict)]
+    return [{k: _text(r.get(k)) for k in (layout.key, *layout.fields)} for r in rows if isinstance(r, dict)]
 
 
-def table_entries(content: str) -> list[dict[str, str]]:
+def table_entries(content: str, layout: Layout = Layout()) -> list[dict[str, str]]:
     """The entries of a Markdown register: the table whose header names the key column."""
     header: list[str] | None = None
     out = []
@@ -71,13 +80,13 @@ def table_entries(content: str) -> list[dict[str, str]]:
             cells = cells[:-1]
         if header is None:
             names = [c.lower() for c in cells]
-            if KEY in names:
+            if layout.key in names:
                 header = names
             continue
         if all(re.fullmatch(r":?-+:?", c) for c in cells):
             continue
         row = dict(zip(header, cells))
-        out.append({k: row.get(k, "") for k in (KEY, *FIELDS)})
+        out.append({k: row.get(k, "") for k in (layout.key, *layout.fields)})
     return out
 
 
@@ -90,15 +99,15 @@ def _digest(parts: list[str]) -> bytes:
     return h.digest()
 
 
-def chunks_of(entries: list[dict[str, str]], chunk_keys: int = CHUNK_KEYS) -> list[tuple[bytes, list[tuple[str, bytes]]]]:
+def chunks_of(entries: list[dict[str, str]], chunk_keys: int = CHUNK_KEYS, layout: Layout = Layout()) -> list[tuple[bytes, list[tuple[str, bytes]]]]:
     """(digest, [(key, value digest)]) of each content-defined chunk of the key-sorted entries.
 
     An entry without a key is left out; of entries that repeat a key, the first counts.
     """
     by_key: dict[str, bytes] = {}
     for e in entries:
-        if e[KEY] and e[KEY] not in by_key:
-            by_key[e[KEY]] = _digest([e[f] for f in FIELDS])
+        if e[layout.key] and e[layout.key] not in by_key:
+            by_key[e[layout.key]] = _digest([e[f] for f in layout.fields])
     out, run = [], []
     for k in sorted(by_key):
         run.append((k, by_key[k]))
@@ -110,55 +119,69 @@ def chunks_of(entries: list[dict[str, str]], chunk_keys: int = CHUNK_KEYS) -> li
     return out
 
 
-_CHUNK_SCHEMA = "id string, ok boolean, digest binary, rows array<struct<k:string,d:binary>>"
+_CHUNK_SCHEMA = "id string, prev string, media string, ok boolean, digest binary, chunks array<struct<digest:binary,rows:array<struct<k:string,d:binary>>>>"
+#: Bytes of content that are read at once.
+BATCH_BYTES = 16_000_000
+
 
+def _parsed(layout: Layout):
+    row = pa.struct([("k", pa.string()), ("d", pa.binary())])
+    chunk = pa.struct([("digest", pa.binary()), ("rows", pa.list_(row))])
+    kind = pa.schema([("id", pa.string()), ("prev", pa.string()), ("media", pa.string()), ("ok", pa.bool_()), ("digest", pa.binary()), ("chunks", pa.list_(chunk))])
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.schema([("id", pa.string()), ("ok", pa.bool_()), ("digest", pa.binary()), ("rows", pa.list_(pa.struct([("k", pa.string()), ("d", pa.binary())])))])
-    for b in batches:
-        out = {"id": [], "ok": [], "digest": [], "rows": []}
-        for i, media, content in zip(*(b.column(c).to_pylist() for c in ("id", "media_type", "content"))):
-            if "json" in (media or "").lower():
-                entries = json_entries(content or "")
-            else:
-                entries = table_entries(content or "")
-            found = [(None, None)] if entries is None else [(None, []), *chunks_of(entries)]
-            for digest, rows in found:  # the first row of each snapshot only says whether it could be read
-                out["id"].append(i)
-                out["ok"].append(entries is not None)
-                out["digest"].append(digest)
-                out["rows"].append(None if rows is None else [{"k": k, "d": d} for k, d in rows])
-        yield pa.RecordBatch.from_pydict(out, schema=kind)
+    def read(b: pa.RecordBatch) -> pa.RecordBatch:
+        out: dict[str, list] = {f.name: [] for f in kind}
+        for i, prev, media, content in zip(*(b.column(c).to_pylist() for c in ("id", "prev", "media_type", "content"))):
+            entries = (json_entries if "json" in (media or "").lower() else table_entries)(content or "", layout)
+            chunks = [] if entries is None else chunks_of(entries, layout=layout)
+            values = (i, prev, media, entries is not None, _digest([d.hex() for d, _ in chunks]), [{"digest": d, "rows": [{"k": k, "d": v} for k, v in rows]} for d, rows in chunks])
+            for name, v in zip(out, values):
+                out[name].append(v)
+        return pa.RecordBatch.from_pydict(out, schema=kind)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, size = 0, 0
+            lengths = pa.compute.fill_null(pa.compute.binary_length(b.column("content")), 0).to_pylist()
+            for i, n in enumerate(lengths):
+                if size and size + n > BATCH_BYTES:
+                    yield read(b.slice(at, i - at))
+                    at, size = i, 0
+                size += n
+            if at < b.num_rows:
+                yield read(b.slice(at))
 
-def register_changes(snapshots: DataFrame, registers: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    return run
+
+
+def register_changes(snapshots: DataFrame, registers: DataFrame, layout: Layout = Layout(), scratch: Scratch | None = None) -> DataFrame:
     """snapshot_id, entry, change (added, removed or changed) of each register snapshot against its predecessor.
 
     `snapshots` has snapshot_id, source_id, previous_snapshot_id, media_type, content; `registers` has the source_id
     of the registers. Only pairs whose two snapshots are registers in the table are compared; if a JSON content of
     either is not valid JSON the pair gives no rows. Null contents are empty. Repeated snapshots count once. A
     snapshot that names itself has no changes. Predecessors compare after trimming and lower-casing.
+
+    Contents are read where they lie (the sources that are registers come by a checked broadcast, beyond it the rows
+    are joined); only chunk digests are moved, and the entries of chunks that have no counterpart.
     """
     scratch = scratch or Scratch(snapshots.sparkSession)
-    own = snapshots.join(registers.select("source_id").distinct(), "source_id", "left_semi")
+    wanted = small(scratch.save(registers.select("source_id").distinct()))
+    own = snapshots.join(wanted, "source_id", "left_semi").where("snapshot_id is not null")
     own = own.select(F.col("snapshot_id").alias("id"), reference_key(F.col("previous_snapshot_id")).alias("prev"), "media_type", "content")
-    one = own.groupBy("id").agg(F.min(F.struct("prev", "media_type", "content")).alias("x")).select("id", "x.*")
-    chunks = one.select("id", "media_type", "content").mapInArrow(_parse, _CHUNK_SCHEMA)
-    chunks = scratch.save(chunks)
-    state = chunks.where("digest is null").select(F.lower("id").alias("k"), "id", "ok")
-    links = own.where("prev is not null").groupBy("id").agg(F.min("prev").alias("prev"))
-    pairs = (
-        links.join(state.where("ok").select("id"), "id")
-        .join(state.where("ok").select(F.col("k").alias("prev"), F.col("id").alias("old")), "prev")
-        .select(F.col("id").alias("pair"), "old")
+    read = own.mapInArrow(_parsed(layout), _CHUNK_SCHEMA)
+    one = scratch.save(read.groupBy("id").agg(F.min("prev").alias("prev"), F.min(F.struct("media", "digest", "ok", "chunks")).alias("x")).select("id", "prev", "x.ok", "x.chunks"))
+    readable = one.where("ok")
+    pairs = scratch.save(
+        readable.where("prev is not null").select(F.col("id").alias("pair"), "prev").join(readable.select(F.lower("id").alias("prev"), F.col("id").alias("old")), "prev").select("pair", "old")
     )
-    pairs = scratch.save(pairs)
-    body = chunks.where("digest is not null")
-    new = pairs.select("pair").join(body, F.col("pair") == F.col("id")).select("pair", F.lit(1).alias("side"), "digest", "rows")
-    old = pairs.join(body, F.col("old") == F.col("id")).select("pair", F.lit(2).alias("side"), "digest", "rows")
+    body = readable.select("id", F.inline("chunks"))
+    mark = readable.select("id", F.explode("chunks.digest").alias("digest"))
+    new = pairs.select("pair", F.col("pair").alias("id"), F.lit(1).alias("side"))
+    old = pairs.select("pair", F.col("old").alias("id"), F.lit(2).alias("side"))
     # a chunk digest stands at most once on each side; on both it is unchanged
-    open_chunks = new.unionByName(old).groupBy("pair", "digest").agg(F.sum("side").alias("sides"), F.first("rows").alias("rows")).where("sides < 3")
-    rows = open_chunks.select("pair", "sides", F.inline("rows"))
+    sides = new.unionByName(old).join(mark, "id").groupBy("pair", "digest").agg(F.sum("side").alias("sides"), F.max("id").alias("id")).where("sides < 3")
+    rows = sides.join(body, ["id", "digest"]).select("pair", "sides", F.inline("rows"))
     both = rows.groupBy("pair", "k").agg(F.max(F.when(F.col("sides") == 1, F.col("d"))).alias("new"), F.max(F.when(F.col("sides") == 2, F.col("d"))).alias("old"))
     change = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(F.col("old") != F.col("new"), "changed")
     return both.select(F.col("pair").alias("snapshot_id"), F.col("k").alias("entry"), change.alias("change")).where("change is not null")
