@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerloom.functions.text import LINE_END, line_count
+from ledgerloom.runtime import Scratch, small
 
 # atomic: a CRLF is never taken for two line ends
 _EOL = r"(?>\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ])"
@@ -176,13 +177,22 @@ def _rows(lim: Limits, with_text: bool):
     return run
 
 
-def split_oversized(df: DataFrame, id_col: str, text_col: str, lim: Limits = Limits(), *, keep_small: bool = True, with_text: bool = True, dedupe: bool = True) -> DataFrame:
+def _once(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """One row per id (of differing texts the one with the least hash); only texts whose id is repeated are moved."""
+    h = F.xxhash64("text")
+    repeated = scratch.save(rows.groupBy("id").agg(F.count("*").alias("n"), F.min(h).alias("h2")).where("n > 1").select(F.col("id").alias("id2"), "h2"))
+    same = F.col("id").eqNullSafe(F.col("id2"))
+    again = rows.withColumn("h", h).join(small(repeated), same & (F.col("h") == F.col("h2")), "left_semi").dropDuplicates(["id"]).select("id", "text")
+    return rows.join(small(repeated), same, "left_anti").unionByName(again)
+
+
+def split_oversized(df: DataFrame, id_col: str, text_col: str, lim: Limits = Limits(), *, keep_small: bool = True, with_text: bool = True, dedupe: bool = True, scratch: Scratch | None = None) -> DataFrame:
     """Ordered pieces of every text: id, piece_no (1..), text, start_char, new_char, end_char, n_bytes, n_lines,
     boundary, cut_line.
 
     cut_line is the 1-based source line inside which the new part of a piece begins, else null: exactly the lines
     that alone are over max_bytes are cut. A text within both limits is one piece (left out with keep_small=False);
-    null counts as empty. Repeated ids count once with dedupe. Other columns are ignored; an empty table gives no
+    null counts as empty. Repeated ids count once with dedupe (a null id too). Other columns are ignored; an empty table gives no
     pieces.
     """
     rows = df.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -191,7 +201,7 @@ def split_oversized(df: DataFrame, id_col: str, text_col: str, lim: Limits = Lim
     if not keep_small:
         rows = rows.where(large)
     if dedupe:
-        rows = rows.dropDuplicates(["id"])
+        rows = _once(rows, scratch or Scratch(df.sparkSession))
     big = rows.where(large).mapInArrow(_rows(lim, with_text), _DDL)
     if not keep_small:
         return big.where("n_bytes > 0")
