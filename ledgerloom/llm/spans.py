@@ -5,12 +5,13 @@ token k-mers of at least KMER_CHARS characters are the edges of a De Bruijn grap
 window of starts are kept, sized so that any shared run of min_chars characters holds at least one kept k-mer in
 both records. Edges that stand with two owners are joined to their neighbours and nonbranching paths are compacted
 by pointer doubling. Source coordinates of the compacted paths then lead back into the texts, where every run of
-min_chars characters around a path's ends is hashed (128 bit) and compared: no shared run is missed, and none shorter
-is reported.
+min_chars characters around a path's ends is hashed anew from the text and compared (see PRIME for what two different
+runs' chance of equal hashes is): no shared run is missed, and none shorter is reported.
 """
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ledgerloom.runtime import Scratch
+from ledgerloom.runtime import Scratch, small
 
 #: Characters of a token k-mer at least, and the longest stretch without a token start.
 KMER_CHARS = 72
@@ -30,19 +31,27 @@ BROADCAST_RECORDS = 500_000
 #: Members of one span's group that one task pairs with another such block.
 PAIR_BLOCK = 500
 
-_B1, _B2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Texts are hashed as polynomials modulo this prime at random bases, two for a k-mer and four for a run: whatever the
+#: texts, two different runs of n characters have equal hashes with a chance below (n / PRIME) ** 4, 2 ** -93 for 180.
+PRIME = (1 << 31) - 1
+_P = np.uint64(PRIME)
 
 
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i mod 2**64 for i < n."""
-    inverse = pow(base, -1, 1 << 64)
-    out = []
-    for b in (base, inverse):
-        p = np.full(n, b, np.uint64)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
+def random_bases() -> tuple[int, ...]:
+    """Drawn anew for each call, on the driver, so that no text can be made to collide."""
+    return tuple(1_000_000 + secrets.randbelow(PRIME - 2_000_000) for _ in range(4))
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """base**i mod PRIME for i < n."""
+    p = np.ones(n, np.uint64)
+    done, step = 1, base % PRIME
+    while done < n:
+        more = min(done, n - done)
+        p[done : done + more] = p[:more] * np.uint64(step) % _P
+        done, step = done + more, step * step % PRIME
+    return p
 
 
 class _Roller:
@@ -51,13 +60,20 @@ class _Roller:
     def __init__(self, codes: np.ndarray, base: int, powers: dict):
         n = len(codes) + 1
         if base not in powers or len(powers[base][0]) < n:
-            powers[base] = _powers(base, max(n, BATCH_CHARS + 1))
+            size = max(n, BATCH_CHARS + 1)
+            powers[base] = _powers(base, size), _powers(pow(base, -1, PRIME), size)
         up, self.down = powers[base]
         self.sums = np.zeros(n, np.uint64)
-        np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * up[: n - 1], out=self.sums[1:])
+        np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * up[: n - 1] % _P, out=self.sums[1:])
 
     def hash(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return (self.sums[b] - self.sums[a]) * self.down[a]
+        return (self.sums[b] - self.sums[a]) % _P * self.down[a] % _P
+
+
+def _hash62(codes: np.ndarray, bases: tuple[int, ...], a: np.ndarray, b: np.ndarray, powers: dict) -> np.ndarray:
+    """Two hashes of the windows [a, b) in one number."""
+    one, two = (_Roller(codes, x, powers).hash(a, b) for x in bases)
+    return (one << np.uint64(31)) | two
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -92,11 +108,11 @@ def token_starts(codes: np.ndarray, token_chars: int = TOKEN_CHARS) -> np.ndarra
     return np.flatnonzero(start | (since >= token_chars) | (none & (np.arange(len(codes)) >= token_chars)))
 
 
-def _kept_in_parts(text: str, min_chars: int, powers: dict) -> tuple[np.ndarray, ...]:
+def _kept_in_parts(text: str, min_chars: int, powers: dict, bases: tuple[int, ...]) -> tuple[np.ndarray, ...]:
     """kept_kmers of one very long text, part by part; the parts overlap so that any run lies within one."""
     h, pos, size = [], [], []
     for a in range(0, len(text), BATCH_CHARS):
-        _, x, p, n = kept_kmers([text[a : a + BATCH_CHARS + 2 * min_chars]], min_chars, powers)
+        _, x, p, n = kept_kmers([text[a : a + BATCH_CHARS + 2 * min_chars]], min_chars, powers, bases)
         h.append(x)
         pos.append(p + a)
         size.append(n)
@@ -115,7 +131,7 @@ def _window(min_chars: int) -> int:
     return min(KMER_CHARS, min_chars - KMER_CHARS - 2 * TOKEN_CHARS)
 
 
-def kept_kmers(texts: list[str], min_chars: int, powers: dict) -> tuple[np.ndarray, ...]:
+def kept_kmers(texts: list[str], min_chars: int, powers: dict, bases: tuple[int, ...]) -> tuple[np.ndarray, ...]:
     """(record index, k-mer hash, position in the record, length) of the kept k-mers of each text, in order."""
     codes = _codes(texts)
     bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
@@ -130,7 +146,7 @@ def kept_kmers(texts: list[str], min_chars: int, powers: dict) -> tuple[np.ndarr
     if not len(p):
         z = np.zeros(0, np.int64)
         return z, z.astype(np.uint64), z, z
-    h = _mix(_Roller(codes, _B1, powers).hash(p, q) + (q - p).astype(np.uint64))
+    h = _mix(_hash62(codes, bases[:2], p, q, powers) ^ ((q - p).astype(np.uint64) << np.uint64(40)))
     h = np.minimum(h, _NONE - np.uint64(1))
     at = np.full(len(codes) + 2 * window, _NONE, np.uint64)
     at[p + window] = h
@@ -154,14 +170,14 @@ def _in_batches(keys: list, texts: list[str]) -> Iterator[tuple[list, list[str]]
         yield keys[a:], texts[a:]
 
 
-def _kmer_rows(min_chars: int):
+def _kmer_rows(min_chars: int, bases: tuple[int, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers: dict = {}
         for b in batches:
             ids = np.stack([b.column("rec").to_numpy(), b.column("owner").to_numpy()], axis=1)
             for part, texts in _in_batches(list(range(len(ids))), b.column("text").to_pylist()):
                 long = len(texts) == 1 and len(texts[0]) > BATCH_CHARS + 2 * min_chars
-                rec, h, pos, size = _kept_in_parts(texts[0], min_chars, powers) if long else kept_kmers(texts, min_chars, powers)
+                rec, h, pos, size = _kept_in_parts(texts[0], min_chars, powers, bases) if long else kept_kmers(texts, min_chars, powers, bases)
                 own = ids[np.asarray(part, np.int64)[rec]] if len(rec) else np.zeros((0, 2), np.int64)
                 first = np.searchsorted(rec, rec)
                 yield pa.RecordBatch.from_arrays(
@@ -172,22 +188,22 @@ def _kmer_rows(min_chars: int):
     return run
 
 
-def _run_hashes(text: str, a: np.ndarray, min_chars: int, powers: dict) -> tuple[np.ndarray, np.ndarray]:
-    """128-bit hashes of the runs that start at the sorted places a, stretch by stretch of the text."""
+def _run_hashes(text: str, a: np.ndarray, min_chars: int, powers: dict, bases: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (four, in two numbers) of the runs that start at the sorted places a, stretch by stretch of the text."""
     out1, out2 = [], []
     at = 0
     while at < len(a):
         to = int(np.searchsorted(a, a[at] + BATCH_CHARS))
         codes = _codes([text[a[at] : a[to - 1] + min_chars]])
         p = a[at:to] - a[at]
-        for out, base in ((out1, _B1), (out2, _B2)):
-            out.append(_mix(_Roller(codes, base, powers).hash(p, p + min_chars)).view(np.int64))
+        for out, two in ((out1, bases[:2]), (out2, bases[2:])):
+            out.append(_hash62(codes, two, p, p + min_chars, powers).view(np.int64))
         at = to
     return np.concatenate(out1), np.concatenate(out2)
 
 
-def _run_rows(min_chars: int, once: bool):
-    """The runs of min_chars around the ends of each compacted path, with 128-bit hashes."""
+def _run_rows(min_chars: int, once: bool, bases: tuple[int, ...]):
+    """The runs of min_chars around the ends of each compacted path, with their hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers: dict = {}
@@ -207,7 +223,7 @@ def _run_rows(min_chars: int, once: bool):
                 a = np.flatnonzero(np.cumsum(at)[:n] > 0)
                 if not len(a):
                     continue
-                h1, h2 = _run_hashes(text, a, min_chars, powers)
+                h1, h2 = _run_hashes(text, a, min_chars, powers, bases)
                 if once:
                     order = np.lexsort((h2, h1))
                     new = np.ones(len(order), bool)
@@ -229,6 +245,7 @@ class Shared:
     records: DataFrame
     paths: DataFrame
     min_chars: int
+    bases: tuple[int, ...]
     scratch: Scratch
 
     def runs(self, once: bool) -> DataFrame:
@@ -239,7 +256,7 @@ class Shared:
         if involved.count() <= BROADCAST_RECORDS:
             texts = texts.join(F.broadcast(involved), "rec", "left_semi")
         texts = texts.select("rec", "text").dropDuplicates(["rec"])
-        return texts.join(spans, "rec").select("rec", "text", "spans").mapInArrow(_run_rows(self.min_chars, once), "rec bigint, at int, h1 bigint, h2 bigint")
+        return texts.join(spans, "rec").select("rec", "text", "spans").mapInArrow(_run_rows(self.min_chars, once, self.bases), "rec bigint, at int, h1 bigint, h2 bigint")
 
 
 def shared_paths(records: DataFrame, min_chars: int = 180, scratch: Scratch | None = None) -> Shared:
@@ -248,14 +265,17 @@ def shared_paths(records: DataFrame, min_chars: int = 180, scratch: Scratch | No
     if _window(min_chars) < TOKEN_CHARS:
         raise ValueError(f"min_chars must be at least {KMER_CHARS + 3 * TOKEN_CHARS}")
     scratch = scratch or Scratch(records.sparkSession)
+    bases = random_bases()
     long_enough = records.where(F.length("text") >= min_chars)
-    kmers = scratch.save(long_enough.select("rec", "owner", "text").mapInArrow(_kmer_rows(min_chars), "rec bigint, owner bigint, h bigint, seq int, pos int, size int"))
+    kmers = scratch.save(long_enough.select("rec", "owner", "text").mapInArrow(_kmer_rows(min_chars, bases), "rec bigint, owner bigint, h bigint, seq int, pos int, size int"))
     edges = kmers.groupBy("h").agg(F.min("owner").alias("lo"), F.max("owner").alias("hi")).where("lo <> hi").select("h")
-    occ = scratch.save(kmers.join(edges, "h", "left_semi").dropDuplicates(["rec", "seq"]))
-    scratch.drop(kmers)
+    # one shuffle by record serves both the repeated rows and the neighbours
+    occ = kmers.join(edges, "h", "left_semi").repartition("rec").dropDuplicates(["rec", "seq"])
     along = W.partitionBy("rec").orderBy("seq")
     near = lambda f, step: F.when(f("seq").over(along) == F.col("seq") + step, F.struct(f("h").over(along).alias("h"), (F.abs(f("pos").over(along) - F.col("pos"))).alias("d")))
-    steps = scratch.save(occ.select("h", "size", near(F.lead, 1).alias("next"), near(F.lag, -1).alias("prev")))
+    occ = scratch.save(occ.select("rec", "owner", "h", "pos", "size", near(F.lead, 1).alias("next"), near(F.lag, -1).alias("prev")))
+    scratch.drop(kmers)
+    steps = occ.select("h", "size", "next", "prev")
     sides = steps.groupBy("h").agg(
         F.max("size").alias("size"), F.count("*").alias("n"),
         *[f(c).alias(f"{c}_{name}") for c in ("next", "prev") for f, name in ((F.count, "n"), (F.min, "lo"), (F.max, "hi"))],
@@ -284,7 +304,9 @@ def shared_paths(records: DataFrame, min_chars: int = 180, scratch: Scratch | No
     shape = joined.groupBy("path").agg(F.max("d").alias("to_last"), F.max(F.col("d") + F.col("size")).alias("length"))
     at = occ.select(F.col("h").alias("path"), "rec", "owner", "pos", "size").join(shape, "path")
     paths = at.select("path", "rec", "owner", "pos", "size", (F.col("pos") + F.col("to_last")).cast("int").alias("last"), (F.col("pos") + F.col("length")).cast("int").alias("end"))
-    return Shared(records, scratch.save(paths), min_chars, scratch)
+    paths = scratch.save(paths)
+    scratch.drop(occ, nodes, state)
+    return Shared(records, paths, min_chars, bases, scratch)
 
 
 def shared_pairs(records: DataFrame, min_chars: int = 180, scratch: Scratch | None = None) -> DataFrame:
@@ -339,12 +361,32 @@ def project_records(snapshots: DataFrame, evidence: DataFrame, min_chars: int =
     from ledgerloom.functions.temporal import reference_key
 
     scratch = scratch or Scratch(snapshots.sparkSession)
-    number = lambda kind, c: F.xxhash64(F.lit(kind), c)
-    full = snapshots.where((F.length("content") >= min_chars) & F.col("snapshot_id").isNotNull() & F.col("source_id").isNotNull()).select(F.col("snapshot_id").alias("key"), F.lit(False).alias("probe"), number("snapshot", F.col("snapshot_id")).alias("rec"), F.xxhash64("source_id").alias("owner"), F.col("content").alias("text"))
+    full = snapshots.where((F.length("content") >= min_chars) & F.col("snapshot_id").isNotNull() & F.col("source_id").isNotNull()).select(F.col("snapshot_id").alias("key"), F.lit(False).alias("probe"), F.xxhash64("source_id").alias("owner"), F.col("content").alias("text"))
     owners = snapshots.where("source_id is not null").select(F.lower("snapshot_id").alias("k"), F.xxhash64("source_id").alias("owner")).groupBy("k").agg(F.min("owner").alias("owner"))
     long_quotes = evidence.where(F.length("quote") >= min_chars)
     # the text is joined by the evidence's own id, which no hot snapshot can crowd
     cited = long_quotes.select("evidence_id", reference_key(F.col("snapshot_id")).alias("k")).distinct().join(owners, "k").groupBy("evidence_id").agg(F.min("owner").alias("owner"))
-    quotes = long_quotes.select("evidence_id", "quote").join(cited, "evidence_id")
-    quotes = quotes.select(F.col("evidence_id").alias("key"), F.lit(True).alias("probe"), number("evidence", F.col("evidence_id")).alias("rec"), "owner", F.col("quote").alias("text"))
-    return full.unionByName(scratch.save(quotes))
+    quotes = scratch.save(long_quotes.select("evidence_id", "quote").join(cited, "evidence_id").select(F.col("evidence_id").alias("key"), F.lit(True).alias("probe"), "owner", F.col("quote").alias("text")))
+    # all ids are numbered: their texts need not be read for it
+    ids = snapshots.where("snapshot_id is not null").select(F.lit(False).alias("probe"), F.col("snapshot_id").alias("key")).unionByName(quotes.select("probe", "key"))
+    return numbered(full.unionByName(quotes), ids, scratch)
+
+
+def numbered(records: DataFrame, ids: DataFrame, scratch: Scratch) -> DataFrame:
+    """records (key, probe, ...) with rec, a 64-bit number that no two of them share. ids: their key and probe at least.
+
+    The number is a hash; keys whose hashes clash, some few among billions, are looked for and hashed again until
+    none are left. They are broadcast (their number is checked).
+    """
+    ids, seed = ids.select("probe", "key").distinct(), 0
+    out = records.withColumn("rec", F.xxhash64(F.lit(seed), "probe", "key"))
+    ids = ids.withColumn("rec", F.xxhash64(F.lit(seed), "probe", "key"))
+    while True:
+        seed += 1
+        twice = ids.groupBy("rec").agg(F.count("*").alias("n"), F.min(F.struct("probe", "key")).alias("stays")).where("n > 1")
+        clash = scratch.save(ids.join(twice, "rec").where(F.struct("probe", "key") != F.col("stays")).select(F.col("probe").alias("p2"), F.col("key").alias("k2")))
+        if clash.limit(1).count() == 0:
+            return out
+        same = (F.col("probe") == F.col("p2")) & (F.col("key") == F.col("k2"))
+        again = F.when(F.col("k2").isNotNull(), F.xxhash64(F.lit(seed), "probe", "key")).otherwise(F.col("rec"))
+        out, ids = (x.join(small(clash), same, "left").withColumn("rec", again).drop("p2", "k2") for x in (out, ids))

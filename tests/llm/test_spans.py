@@ -5,6 +5,7 @@ import pytest
 
 from ledgerloom.llm import spans as S
 
+BASES = S.random_bases()
 SCHEMA = "key string, probe boolean, rec bigint, owner bigint, text string"
 
 
@@ -90,7 +91,7 @@ def test_kept_kmers_are_the_same_in_any_surroundings():
     for _ in range(20):
         text = _words(rng, 9) + shared + _words(rng, 9)
         at = text.index(shared)
-        _, h, pos, size = S.kept_kmers([text], 180, powers)
+        _, h, pos, size = S.kept_kmers([text], 180, powers, BASES)
         marks.append({int(x) for x, p, n in zip(h, pos, size) if p >= at and p + n <= at + 180})
     assert all(m & marks[0] for m in marks)
 
@@ -143,7 +144,52 @@ def test_kept_kmers_cover_a_record_and_are_found_inside_long_tokens():
         marks = []
         for _ in range(2):
             head = rng.choice(["", " "]) + "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(40)))
-            _, h, pos, size = S.kept_kmers([head + shared + "ab" * 40], 180, powers)
+            _, h, pos, size = S.kept_kmers([head + shared + "ab" * 40], 180, powers, BASES)
             assert (pos[1:] <= pos[:-1] + size[:-1]).all()
             marks.append({int(x) for x, p, n in zip(h, pos, size) if p >= len(head) and p + n <= len(head) + 180})
         assert marks[0] & marks[1]
+
+
+def _alike():
+    """Two texts that any polynomial hash modulo 2**64 with an odd base takes for equal: (x**4 - 1)**18 apart."""
+    from math import comb
+
+    one = [0x20000] * 180
+    two = list(one)
+    for i in range(19):
+        two[40 + 4 * i] += (-1) ** i * comb(18, i)
+    return "".join(map(chr, one)), "".join(map(chr, two))
+
+
+def test_texts_made_to_collide_do_not(spark):
+    import numpy as np
+
+    a, b = _alike()
+    up = [pow(0x9E3779B97F4A7C15, i, 1 << 64) for i in range(180)]
+    assert sum(ord(c) * u for c, u in zip(a, up)) % (1 << 64) == sum(ord(c) * u for c, u in zip(b, up)) % (1 << 64)
+    x, y = (S._run_hashes(t, np.array([0]), 180, {}, BASES) for t in (a, b))
+    assert x[0] != y[0] and x[1] != y[1]
+    head = "the same words before and after it, again and again and once more, until it ends. "
+    rows = [("a", False, 1, 1, head + a + head), ("b", False, 2, 2, head + b + head)]
+    assert S.shared_pairs(spark.createDataFrame(rows, SCHEMA)).count() == 0
+
+
+def test_hash_against_whole_numbers():
+    import numpy as np
+
+    text, base = "some words, größer 😀 " * 40, BASES[0]
+    r = S._Roller(S._codes([text]), base, {})
+    for a, b in ((0, 5), (3, 200), (100, 700)):
+        want = sum((ord(c) + 1) * pow(base, i, S.PRIME) for i, c in enumerate(text[a:b])) % S.PRIME
+        assert int(r.hash(np.array([a]), np.array([b]))[0]) == want
+
+
+def test_numbers_of_records_are_not_shared(spark, monkeypatch):
+    from ledgerloom.runtime import Scratch
+
+    real = S.F.xxhash64
+    # a hash of few values at first, so that clashes have to be mended
+    monkeypatch.setattr(S.F, "xxhash64", lambda seed, *c: S.F.when(seed < 3, S.F.pmod(real(seed, *c), S.F.lit(7))).otherwise(real(seed, *c)))
+    rows = spark.createDataFrame([(f"k{i % 40}", i % 2 == 0) for i in range(80)], "key string, probe boolean")
+    got = S.numbered(rows, rows, Scratch(spark)).distinct().collect()
+    assert len(got) == len({r.rec for r in got}) == len({(r.key, r.probe) for r in got})
