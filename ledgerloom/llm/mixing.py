@@ -20,8 +20,6 @@ from ledgerloom.runtime import Scratch
 MAX_SOURCES = 10_000
 #: Texts per block of a source when cumulative tokens are summed.
 BLOCK_ROWS = 20_000
-#: Relative weight of a source at the start and the end of training, linear between; others are flat.
-CURRICULUM = {"field_log": (1.4, 0.6), "transcript": (1.2, 0.8), "lore": (0.6, 1.4), "letters": (0.8, 1.2)}
 
 
 def sized_texts(df: DataFrame, id_col: str, text_col: str, source_col: str, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -56,13 +54,15 @@ def _demand(pool: DataFrame, targets: DataFrame, total_tokens: int | None, curri
     return d
 
 
-def mix(sized: DataFrame, targets: DataFrame, *, total_tokens: int | None = None, curriculum: dict[str, tuple[float, float]] = CURRICULUM, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
+def mix(sized: DataFrame, targets: DataFrame, *, total_tokens: int | None = None, curriculum: dict[str, tuple[float, float]] | None = None, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
     """(mix, shares). mix: position, source, id, copy, n_tokens sorted by position; shares: what each source reached.
 
     * Exact copies of a text are one text, kept under its smallest id among the targeted sources, so no text is used
       more than max_repeats times. Sources without a target have no part; targets without texts reach nothing.
     * total_tokens defaults to the tokens of all targeted texts. A source whose share cannot be reached gives all
       its texts max_repeats times; the others keep their share of total_tokens.
+    * curriculum has the relative weight of a source at the start and at the end of training, linear between; sources
+      without one are flat.
     * A copy is taken when the middle of its tokens lies within the source's demand, so a source ends within one text
       of it. Target shares are scaled to sum to 1; null shares are 0, null max_repeats 1.
     """
@@ -73,7 +73,7 @@ def mix(sized: DataFrame, targets: DataFrame, *, total_tokens: int | None = None
     own = sized.join(F.broadcast(named), "source", "left_semi")
     pool = own.groupBy("digest").agg(F.min(F.struct("id", "source", "n_tokens")).alias("t")).select("t.*")
     pool = scratch.save(pool)
-    d = _demand(pool, targets, total_tokens, curriculum, scratch)
+    d = _demand(pool, targets, total_tokens, curriculum or {}, scratch)
     blocks = max(1, -(-pool.count() // BLOCK_ROWS))
     p = pool.withColumn("h", F.xxhash64(F.lit(7), "id")).withColumn("b", F.pmod("h", F.lit(blocks)))
     in_block = W.partitionBy("source", "b").orderBy("h", "id").rowsBetween(W.unboundedPreceding, -1)

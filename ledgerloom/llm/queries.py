@@ -33,25 +33,37 @@ def p4_shared(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_coverage(_span_records(spark, d))
 
 
-def p7_containers(spark: SparkSession, d: str) -> DataFrame:
-    """The container, slot and token range of every piece of every text.
+def _shares(spark: SparkSession, d: str) -> dict[str, float]:
+    """Target shares by source; a few rows by definition (more are refused)."""
+    rows = table(spark, d, "mix_targets").where("source is not null and target_share > 0").groupBy("source").agg(F.max("target_share").alias("share")).limit(packing.MAX_SOURCES + 1).collect()
+    if len(rows) > packing.MAX_SOURCES:
+        raise ValueError(f"a mixture of more than {packing.MAX_SOURCES} sources")
+    return {r["source"]: r["share"] for r in rows}
+
 
-    All texts come out, so the proportions every window is steered to are the corpus's own: others could only hold
-    until a source has run out.
-    """
-    packed = packing.pack_documents(table(spark, d, "documents"), {})
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    """The container, slot and token range of every piece of every text, steered to the target shares."""
+    packed = packing.pack_documents(table(spark, d, "documents"), _shares(spark, d))
     return packed.withColumnRenamed("id", "doc_id")
 
 
 def p7_fill(spark: SparkSession, d: str) -> DataFrame:
-    """Tokens used and left in each container."""
-    used = p7_containers(spark, d).groupBy("part", "container").agg(F.sum("n_tokens").alias("used"), F.count("*").alias("pieces"))
-    return used.withColumn("left_over", F.lit(packing.CAPACITY) - F.col("used"))
+    """Tokens used and left in each container, and how far its sources are from the target shares."""
+    return packing.fill(p7_containers(spark, d), _shares(spark, d))
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """What each source has of each packing partition, against its target share."""
+    return packing.part_shares(p7_containers(spark, d), _shares(spark, d))
+
+
+#: Relative weight of a collection at the start and the end of training, linear between; others are flat.
+CURRICULUM = {"field_log": (1.4, 0.6), "transcript": (1.2, 0.8), "lore": (0.6, 1.4), "letters": (0.8, 1.2)}
 
 
 def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     sized = mixing.sized_texts(table(spark, d, "documents"), "doc_id", "text", "source")
-    return mixing.mix(sized, table(spark, d, "mix_targets"))
+    return mixing.mix(sized, table(spark, d, "mix_targets"), curriculum=CURRICULUM)
 
 
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
@@ -77,7 +89,7 @@ def p9_corpus(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy("subject").agg(F.sum("hits").alias("sentences"), F.sum(deals).alias("documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p4_found, p4_shared, p7_containers, p7_fill, p8_mix, p8_shares, p9_found, p9_corpus)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p4_found, p4_shared, p7_containers, p7_fill, p7_shares, p8_mix, p8_shares, p9_found, p9_corpus)}
 _EOL = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
 _PARTS = f"regexp_split_to_array(content, '{_EOL}')"
 SQL: dict[str, str] = {

@@ -45,6 +45,30 @@ def test_deficits_are_carried_over_partitions(spark):
     assert out["part"].nunique() == 3 and out.groupby(["part", "container"])["n_tokens"].sum().max() <= 1000 and len(out) == 600
 
 
+def test_schedule_serves_shares_until_a_source_ends():
+    import numpy as np
+
+    s = packing.schedule_of({"a": 100, "b": 900, "c": 500}, {"a": 0.5, "b": 0.25, "c": 0.25})
+    assert np.allclose(s.got(np.array([0.0, 100.0, 200.0, 1200.0, 1500.0])), [[0, 0, 0], [50, 25, 25], [100, 50, 50], [100, 600, 500], [100, 900, 500]])
+    assert np.allclose(s.place(np.array([0.0, 200.0, 2000.0])), [0, 200, 1100])
+
+
+def test_partitions_have_the_target_shares_while_sources_last(spark):
+    rng = random.Random(4)
+    docs = [(i, "big" if i % 5 else "small", rng.randrange(20, 400)) for i in range(6000)]
+    df = spark.createDataFrame(docs, "id bigint, source string, n_tokens bigint")
+    shares = {"small": 0.5, "big": 0.5}
+    out = packing.pack_sized(df, shares, capacity=1000, part_tokens=100_000)
+    out.cache()
+    assert out.agg(F.sum("n_tokens")).first()[0] == sum(n for *_, n in docs)
+    rows = {(r.part, r.source): r.share for r in packing.part_shares(out, shares).collect()}
+    early = [rows[p, "small"] for p in range(3)]
+    last = max(p for p, _ in rows)
+    assert all(abs(x - 0.5) < 0.1 for x in early) and rows[last, "big"] > 0.99
+    f = packing.fill(out, shares, 1000).toPandas()
+    assert f["used"].sum() == sum(n for *_, n in docs) and (f["left_over"] >= 0).all() and ((f["off_target"] >= 0) & (f["off_target"] <= 0.5001)).all()
+
+
 def test_packing_edges(spark):
     none = spark.createDataFrame([], "id bigint, source string, n_tokens bigint")
     assert packing.pack_sized(none, {}).count() == 0
