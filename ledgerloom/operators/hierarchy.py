@@ -51,13 +51,13 @@ def hierarchy(df: DataFrame, id_col: str, parent_col: str, scratch: Scratch | No
     scratch = scratch or Scratch(spark)
     rows = df.select(F.col(id_col).cast("string").alias("id"), reference_key(F.col(parent_col).cast("string")).alias("pid")).where(F.col("id").isNotNull())
     nodes = rows.groupBy("id").agg(F.min("pid").alias("pid"))
-    named = scratch.save(nodes)
-    n = named.count()
+    named = scratch.save(nodes, count={"n": F.lit(True)})
+    n = scratch.counted(named, "n")
     numbered = scratch.save(_numbered(named, n))
     scratch.drop(named)
     keys = numbered.select(F.lower("id").alias("k"), F.col("v").alias("p")).groupBy("k").agg(F.min("p").alias("p"))
     has = numbered.where(F.col("pid").isNotNull()).join(keys, F.col("pid") == F.col("k")).select("v", "p")
-    edges = scratch.save(has)
+    edges = scratch.save(has, count={"n": F.lit(True)})
     circle = _circles(edges, numbered, scratch)
     tour = _tour(numbered, edges, circle, scratch)
     names = numbered.select("v", "id", "pid")
@@ -76,16 +76,13 @@ def _circles(edges: DataFrame, numbered: DataFrame, scratch: Scratch) -> DataFra
     """(v, root_id, depth): the nodes that no peeling reaches."""
     # peel: keep the nodes that still have an ancestor 2**k up
     up, size = edges.select("v", F.col("p").alias("a")), None
-    kept = up
-    while True:
-        m = kept.count()
-        if m == size or m == 0:
-            break
+    kept, m = up, scratch.counted(edges, "n")
+    while m not in (0, size):
         size = m
         step = kept.select(F.col("v").alias("a"), F.col("a").alias("a2"))
-        new = scratch.save(kept.join(step, "a").select("v", F.col("a2").alias("a")))
+        new = scratch.save(kept.join(step, "a").select("v", F.col("a2").alias("a")), count={"n": F.lit(True)})
         scratch.drop(*([kept] if kept is not up else []))
-        kept = new
+        kept, m = new, scratch.counted(new, "n")
     if size is None or m == 0:
         return kept.select("v", F.lit(None).cast("string").alias("root_id"), F.lit(None).cast("long").alias("depth")).where("false")
     # kept: on a circle or leading into one. Double on until the image stops shrinking; that image is the circles.
@@ -103,8 +100,8 @@ def _circles(edges: DataFrame, numbered: DataFrame, scratch: Scratch) -> DataFra
     ring = scratch.save(core.join(edges, "v").join(numbered.select("v", "id"), "v").select("v", F.col("p").alias("a"), F.col("id").alias("low")))
     while True:
         step = ring.select(F.col("v").alias("a"), F.col("a").alias("a2"), F.col("low").alias("low2"))
-        new = scratch.save(ring.join(step, "a").select("v", F.col("a2").alias("a"), F.least("low", "low2").alias("low"), (F.col("low2") < F.col("low")).alias("moved")))
-        moved = new.where("moved").limit(1).count()
+        new = scratch.save(ring.join(step, "a").select("v", F.col("a2").alias("a"), F.least("low", "low2").alias("low"), (F.col("low2") < F.col("low")).alias("moved")), count={"moved": F.col("moved")})
+        moved = scratch.counted(new, "moved")
         scratch.drop(ring)
         ring = new.select("v", "a", "low")
         ring._scratch_path = new._scratch_path
@@ -140,18 +137,18 @@ def _tour(numbered: DataFrame, edges: DataFrame, circle: DataFrame, scratch: Scr
     ends = start.where("nxt is null").select("e")  # the exits of roots
     # (e, nxt, d, w): d elements and weight w from e up to, not including, nxt; done when nxt is the last of its list
     live = start.where("nxt is not null").join(ends.select(F.col("e").alias("nxt"), F.lit(True).alias("done")), "nxt", "left")
-    live = scratch.save(live.select("e", "nxt", F.lit(1).cast("long").alias("d"), "w", "head", F.coalesce("done", F.lit(False)).alias("done")))
+    open_ = {"open": ~F.col("done")}
+    live = scratch.save(live.select("e", "nxt", F.lit(1).cast("long").alias("d"), "w", "head", F.coalesce("done", F.lit(False)).alias("done")), count=open_)
     finished: list[DataFrame] = [start.where("nxt is null").select("e", F.col("e").alias("last"), F.lit(0).cast("long").alias("d"), F.lit(0).cast("long").alias("w"))]
     rounds = 0
     while True:
         waiting = live.where("not done")
-        n = waiting.count()
-        if n == 0:
+        if scratch.counted(live, "open") == 0:
             finished.append(live.select("e", F.col("nxt").alias("last"), "d", "w"))
             break
         step = live.select(F.col("e").alias("nxt"), F.col("nxt").alias("nxt2"), F.col("d").alias("d2"), F.col("w").alias("w2"), F.col("done").alias("done2"))
         moved = waiting.join(step, "nxt").select("e", F.col("nxt2").alias("nxt"), (F.col("d") + F.col("d2")).alias("d"), (F.col("w") + F.col("w2")).alias("w"), "head", F.col("done2").alias("done"))
-        new = scratch.save(live.where("done").unionByName(moved))
+        new = scratch.save(live.where("done").unionByName(moved), count=open_)
         scratch.drop(live)
         rounds += 1
         if rounds % PRUNE_EVERY:
@@ -162,7 +159,7 @@ def _tour(numbered: DataFrame, edges: DataFrame, circle: DataFrame, scratch: Scr
         done = new.where("done")
         out = scratch.save(done.join(whole, "nxt", "left_semi"))
         finished.append(out.select("e", F.col("nxt").alias("last"), "d", "w"))
-        live = scratch.save(new.where("not done").unionByName(done.join(whole, "nxt", "left_anti")))
+        live = scratch.save(new.where("not done").unionByName(done.join(whole, "nxt", "left_anti")), count=open_)
         scratch.drop(new)
     ranked = finished[0]
     for f in finished[1:]:
@@ -185,40 +182,38 @@ def _tour(numbered: DataFrame, edges: DataFrame, circle: DataFrame, scratch: Scr
     return both.join(top, "root").select("v", "root", "depth", (F.col("len") - F.col("d_in")).alias("entry"), (F.col("len") - F.col("d_out")).alias("exit"))
 
 
-def paths(df: DataFrame, id_col: str, parent_col: str, scratch: Scratch | None = None, tree: DataFrame | None = None) -> DataFrame:
-    """(id, root_id, depth, path): path is the array of ids from the root to the node, both included.
+#: Descendants of a node that are listed in one row's interval before it is cut.
+INTERVAL = 100_000
+
+
+def descendants(tree: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """(ancestor_id, descendant_id, distance) from the entry-exit intervals of `tree` (the result of hierarchy).
 
-    Built by doubling too: each round puts the 2**k ancestors of the node 2**k up before its own, so no row is ever
-    larger than the result. Nodes on or leading into a circle have a null path.
+    Before a node's entry stand (entry + depth) / 2 entries, so the nodes of a tree are numbered in preorder and the
+    descendants of a node are the numbers of one interval. Intervals are unrolled and meet the nodes in an equi join
+    on (tree, number): as many rows as the result has, spread by number, however large a tree or a node's interval.
+    With `of` (a table with column id) only the descendants of the asked nodes are listed.
     """
-    spark = df.sparkSession
-    scratch = scratch or Scratch(spark)
-    tree = scratch.save(tree if tree is not None else hierarchy(df, id_col, parent_col, scratch))
-    sound = tree.where("depth >= 0")
-    keys = sound.select(F.lower("id").alias("pk"), F.col("id").alias("up")).groupBy("pk").agg(F.min("up").alias("up"))
-    known = sound.where("depth > 0").join(keys, F.col("parent_id") == F.col("pk")).select("id", "up", F.array("up").alias("part"))
-    roots = sound.where("depth = 0").select("id", F.lit(None).cast("string").alias("up"), F.array().cast("array<string>").alias("part"))
-    live = scratch.save(known.unionByName(roots))
-    while live.where("up is not null").limit(1).count():
-        step = live.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("part").alias("part2"))
-        moved = live.where("up is not null").join(step, "up").select("id", F.col("up2").alias("up"), F.concat("part2", "part").alias("part"))
-        new = scratch.save(live.where("up is null").unionByName(moved))
-        scratch.drop(live)
-        live = new
-    return tree.join(live.select("id", F.concat("part", F.array("id")).alias("path")), "id", "left").select("id", "root_id", "depth", "path")
+    sound = tree.where("depth >= 0").withColumn("no", ((F.col("entry") + F.col("depth")) / 2).cast("long"))
+    a = sound if of is None else sound.join(of.select("id").distinct(), "id", "left_semi")
+    a = a.where("n_descendants > 0").select(F.col("id").alias("ancestor_id"), "root_id", F.col("depth").alias("da"), (F.col("no") + 1).alias("lo"), (F.col("no") + F.col("n_descendants")).alias("hi"))
+    long = F.col("hi") - F.col("lo") >= INTERVAL
+    cut = a.where(long).withColumn("at", F.explode(F.sequence("lo", "hi", F.lit(INTERVAL).cast("long")))).repartition("root_id", "at")
+    cut = cut.withColumn("hi", F.least("hi", F.col("at") + INTERVAL - 1)).withColumn("lo", F.col("at")).drop("at")
+    every = a.where(~long).unionByName(cut).select("ancestor_id", "root_id", "da", F.explode(F.sequence("lo", "hi")).alias("no"))
+    d = sound.select(F.col("id").alias("descendant_id"), "root_id", "no", "depth")
+    return every.join(d, ["root_id", "no"]).select("ancestor_id", "descendant_id", (F.col("depth") - F.col("da")).alias("distance"))
 
 
-def descendants(tree: DataFrame, of: DataFrame | None = None, *, path_table: DataFrame | None = None) -> DataFrame:
-    """(ancestor_id, descendant_id, distance).
+def paths(df: DataFrame, id_col: str, parent_col: str, scratch: Scratch | None = None, tree: DataFrame | None = None) -> DataFrame:
+    """(id, root_id, depth, path): path is the array of ids from the root to the node, both included.
 
-    With `of` (a table with column id) the entry-exit intervals of the asked nodes are joined to their tree's nodes;
-    without it all pairs come out by unrolling the paths, as many rows as the result has.
+    The ancestors are those whose entry-exit intervals hold the node, the farthest first. Nodes on or leading into a
+    circle have a null path. A path has to fit one row.
     """
-    if of is not None:
-        a = tree.join(of.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("ancestor_id"), "root_id", F.col("entry").alias("a"), F.col("exit").alias("z"), F.col("depth").alias("da"))
-        d = tree.select(F.col("id").alias("descendant_id"), "root_id", "entry", "depth")
-        return a.join(d, "root_id").where("entry > a and entry < z").select("ancestor_id", "descendant_id", (F.col("depth") - F.col("da")).alias("distance"))
-    if path_table is None:
-        raise ValueError("all pairs are unrolled from path_table")
-    p = path_table.where("path is not null").select(F.col("id").alias("descendant_id"), "depth", F.posexplode("path").alias("pos", "ancestor_id"))
-    return p.where("ancestor_id <> descendant_id").select("ancestor_id", "descendant_id", (F.col("depth") - F.col("pos")).cast("long").alias("distance"))
+    scratch = scratch or Scratch(df.sparkSession)
+    tree = scratch.save(tree if tree is not None else hierarchy(df, id_col, parent_col, scratch))
+    above = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("far"), "ancestor_id"))), lambda x: x["ancestor_id"])
+    up = descendants(tree).groupBy(F.col("descendant_id").alias("id")).agg(above.alias("above"))
+    path = F.when(F.col("depth") >= 0, F.concat(F.coalesce("above", F.array().cast("array<string>")), F.array("id")))
+    return tree.join(up, "id", "left").select("id", "root_id", "depth", path.alias("path"))

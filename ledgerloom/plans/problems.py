@@ -29,8 +29,7 @@ def p2_descendants(spark: SparkSession, d: str) -> DataFrame:
     """All ancestor-descendant pairs."""
     scratch = Scratch(spark)
     snaps = table(spark, d, "source_snapshots").select("snapshot_id", "previous_snapshot_id")
-    p = H.paths(snaps, "snapshot_id", "previous_snapshot_id", scratch)
-    return H.descendants(p, path_table=p)
+    return H.descendants(scratch.save(H.hierarchy(snaps, "snapshot_id", "previous_snapshot_id", scratch)))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

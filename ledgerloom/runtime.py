@@ -10,7 +10,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings sources source_snapshots "
@@ -82,16 +82,28 @@ class Scratch:
         self._n = 0
         atexit.register(self._delete, self.base)
 
-    def save(self, df: DataFrame, *, partitions: int | None = None) -> DataFrame:
+    def save(self, df: DataFrame, *, partitions: int | None = None, count: dict[str, Column] | None = None) -> DataFrame:
+        """df, written and read again. With `count`, how many rows meet each condition is told by the write itself
+        (see `counted`), not by another job."""
         self._n += 1
         path = f"{self.base}/t{self._n}"
         if partitions:
             df = df.coalesce(partitions)
-        df.write.option("compression", "zstd").parquet(path)
+        seen = Observation() if count else None
+        rows = df.observe(seen, *[F.count_if(c).alias(k) for k, c in count.items()]) if count else df
+        rows.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
+        if count:
+            got = seen.get
+            # a plan that was found to be empty while it ran may have lost its counters
+            out._counted = {k: got[k] if got.get(k) is not None else out.where(c).count() for k, c in count.items()}
         return out
 
+    @staticmethod
+    def counted(df: DataFrame, name: str) -> int:
+        return df._counted[name]
+
     def drop(self, *dfs: DataFrame) -> None:
         for df in dfs:
             if path := getattr(df, "_scratch_path", None):

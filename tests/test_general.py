@@ -42,6 +42,7 @@ def _tree_rows(rng, n):
 def test_hierarchy_against_brute_force(spark, monkeypatch, n, block):
     monkeypatch.setattr(H, "SIBLING_BLOCK", block)
     monkeypatch.setattr(H, "NUMBER_BLOCK", 50)
+    monkeypatch.setattr(H, "INTERVAL", block)
     parent = _tree_rows(random.Random(n), n)
     rows = [(k, None if v is None else f" {v.upper()}\t", 1, "x") for k, v in parent.items()] + [("n0001", parent["n0001"], 2, "y"), (None, "n0001", 3, "z")]
     df = spark.createDataFrame(rows, "id string, parent string, depth int, root_id string")
@@ -57,7 +58,7 @@ def test_hierarchy_against_brute_force(spark, monkeypatch, n, block):
             assert inside == kids[k]
     paths = H.paths(df, "id", "parent")
     assert {r.id: r.path for r in paths.collect()} == {k: v[2] for k, v in want.items()}
-    pairs = H.descendants(tree, path_table=paths)
+    pairs = H.descendants(tree)
     assert {(r[0], r[1]) for r in pairs.collect()} == {(k, m) for k, s in kids.items() for m in s}
     asked = H.descendants(tree, spark.createDataFrame([("n0000",)], "id string"))
     assert {r.descendant_id for r in asked.collect()} == kids["n0000"]
