@@ -6,13 +6,15 @@ one equi join on (target, width, digest). Equal quotes are searched once.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ledgerloom.functions.temporal import strip
 from ledgerloom.functions.text import lf, plain_digest, source_lines
 
 # Outcomes and anchor errors; fixed values.
 OUTCOMES = ["SAME_POSITION", "EXACT_MOVED_UNIQUE", "EXACT_MOVED_AMBIGUOUS", "NO_EXACT_MATCH", "INVALID_EVIDENCE"]
+#: Places at which one quote may stand; more fail the report, none is cut off. A fixed value.
+MAX_CANDIDATES = 10_000
 #: Bytes and lines of a quote at most; longer ones are reported, not searched.
 MAX_BYTES, MAX_LINES = 16 * 1024 * 1024, 200_000
 
@@ -31,6 +33,7 @@ def anchors(evidence: DataFrame) -> DataFrame:
         F.when(F.col("snapshot_id").isNull() | (strip(F.col("snapshot_id")) == ""), "SNAPSHOT_ID_REQUIRED")
         .when(F.col("start_line").isNull() | F.col("end_line").isNull() | (F.col("start_line") < 1) | (F.col("end_line") < F.col("start_line")), "INVALID_LINE_RANGE")
         .when(F.col("quote").isNull(), "QUOTE_REQUIRED")
+        .when(~F.is_valid_utf8("quote"), "INVALID_UNICODE_QUOTE")
         .when(F.octet_length(q) > MAX_BYTES, "QUOTE_BYTES_LIMIT")
         .when(width > MAX_LINES, "QUOTE_LINES_LIMIT")
         .when(width != span, "QUOTE_SPAN_MISMATCH")
@@ -45,20 +48,26 @@ def windows(targets: DataFrame, asked: DataFrame) -> DataFrame:
     widths = asked.select("target_id", "width").distinct().groupBy("target_id").agg(F.collect_set("width").alias("widths"))
     t = targets.join(widths, "target_id").select("target_id", source_lines(F.col("content")).alias("lines"), F.explode("widths").alias("width"))
     t = t.withColumn("last", F.size("lines") - F.col("width") + 1).where("last >= 1")
-    at = t.select("target_id", "width", "lines", F.explode(F.sequence(F.lit(1), F.col("last").cast("int"))).alias("start_line"))
-    return at.select("target_id", "width", F.sha2(F.array_join(F.slice("lines", F.col("start_line"), F.col("width").cast("int")), "\n"), 256).alias("key"), F.col("start_line").cast("bigint").alias("start_line"))
+    # digests are made while the lines lie in one row; no window carries the text
+    window = lambda i: F.struct(F.sha2(F.array_join(F.slice("lines", i, F.col("width").cast("int")), "\n"), 256).alias("key"), i.cast("bigint").alias("start_line"))
+    return t.select("target_id", "width", F.inline(F.transform(F.sequence(F.lit(1), F.col("last").cast("int")), window)))
 
 
-def classify(asked: DataFrame, targets: DataFrame) -> DataFrame:
+def classify(asked: DataFrame, targets: DataFrame, max_candidates: int = MAX_CANDIDATES) -> DataFrame:
     """evidence_id, target_id, outcome, n_candidates, candidates (sorted start lines) of each anchor in its target.
 
-    asked: the columns of `anchors` with target_id. Overlapping occurrences all count. Anchors with an error are
+    asked: the columns of `anchors` with target_id. Overlapping occurrences all count; a quote that stands at more than
+    max_candidates places fails the query (CANDIDATE_LIMIT) when its rows are read, before its places are gathered. Anchors with an error are
     INVALID_EVIDENCE; a target without text has no match.
     """
     good = asked.where("error is null")
     patterns = good.select("target_id", "width", "key").distinct()
     hits = windows(targets, patterns).join(patterns, ["target_id", "width", "key"])
-    found = hits.groupBy("target_id", "width", "key").agg(F.array_sort(F.collect_list("start_line")).alias("candidates"))
+    # a task gathers within a block of lines first, so that counts are known before places are put together
+    part = hits.groupBy("target_id", "width", "key", F.floor(F.col("start_line") / max_candidates).alias("block")).agg(F.collect_list("start_line").alias("some"), F.count("*").alias("n"))
+    most = F.sum("n").over(W.partitionBy("target_id", "width", "key"))
+    part = part.withColumn("all", most).withColumn("some", F.when(F.col("all") <= max_candidates, F.col("some")).otherwise(F.raise_error(F.lit("CANDIDATE_LIMIT")).cast("array<bigint>")))
+    found = part.groupBy("target_id", "width", "key").agg(F.array_sort(F.flatten(F.collect_list("some"))).alias("candidates"))
     j = good.join(found, ["target_id", "width", "key"], "left")
     n = F.coalesce(F.size("candidates"), F.lit(0))
     n = F.when(n < 0, 0).otherwise(n)

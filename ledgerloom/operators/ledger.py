@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ledgerloom.runtime import Scratch
+
 GENESIS = "0" * 64
 #: The hashed fields, in the order of their names; fixed values.
 MATERIAL = ["aggregate_id", "aggregate_type", "created_at", "entry_id", "event_type", "payload_json", "previous_hash", "sequence"]
@@ -41,13 +43,15 @@ def bounds(ledger: DataFrame) -> DataFrame:
     return ledger.agg(F.count("*").alias("entries"), F.coalesce(F.sum(size), F.lit(0)).alias("payload_bytes"), F.coalesce(F.max(size), F.lit(0)).alias("largest_payload"))
 
 
-def entries(ledger: DataFrame, *, after: int = 0, event_types: list[str] | None = None, aggregate_type: str | None = None, limit: int | None = None) -> DataFrame:
+def entries(ledger: DataFrame, *, after: int = 0, event_types: list[str] | None = None, aggregate_type: str | None = None, aggregate_id: str | None = None, limit: int | None = None) -> DataFrame:
     """The entries after a sequence, filtered, in order: an incremental read."""
     out = ledger.where(F.col("sequence") > after)
     if event_types:
         out = out.where(F.col("event_type").isin(event_types))
     if aggregate_type:
         out = out.where(F.col("aggregate_type") == aggregate_type)
+    if aggregate_id is not None:
+        out = out.where(F.col("aggregate_id") == aggregate_id)
     out = out.orderBy("sequence")
     return out if limit is None else out.limit(limit)
 
@@ -84,3 +88,30 @@ def linked(batch: DataFrame, order: str, last_sequence: int, last_hash: str = GE
     schema = ", ".join(f"{c} {'bigint' if c == 'sequence' else 'string'}" for c in [*MATERIAL, "entry_hash"])
     rows = batch.select(F.col(order), F.lit(1).alias("one_batch"), *[F.col(c).cast("string").alias(c) for c in own])
     return rows.groupBy("one_batch").applyInPandas(link, schema)
+
+
+#: Event types that only their own operations may append; fixed values.
+RESERVED = ("claim_proposed", "claim_evidence_added", "governance_decision", "narrative_event_created", "source_snapshot_created")
+
+
+def appended(batch: DataFrame, order: str, scratch: Scratch, *, last_sequence: int = 0, last_hash: str = GENESIS, step: int = MAX_BATCH, reserved: tuple[str, ...] = ()) -> DataFrame:
+    """A batch of any size linked in steps of at most `step` entries, each starting from the hash the step before ended
+    with. order is a dense integer column. Rows of a reserved event type fail the call."""
+    if reserved and batch.where(F.col("event_type").isin(list(reserved))).limit(1).count():
+        raise ValueError(f"event types {reserved} are reserved")
+    lo, hi = batch.agg(F.min(order), F.max(order)).first()
+    out = None
+    for at in range(lo, hi + 1, step) if lo is not None else ():
+        some = batch.where((F.col(order) >= at) & (F.col(order) < at + step))
+        one = scratch.save(linked(some, order, last_sequence, last_hash))
+        end = one.agg(F.max("sequence"), F.max_by("entry_hash", "sequence")).first()
+        if end[0] is not None:
+            last_sequence, last_hash = end
+        out = one if out is None else out.unionByName(one)
+    return linked(batch, order, last_sequence, last_hash) if out is None else out
+
+
+def material_sizes(ledger: DataFrame, *, max_entries: int = MAX_BATCH, max_bytes: int = 64 * 1024 * 1024, max_payload: int = 2 * 1024 * 1024) -> DataFrame:
+    """entries, payload_bytes, largest_payload, problem: the first bound that a verification would break, else null."""
+    problem = F.when(F.col("entries") > max_entries, "LEDGER_ENTRY_LIMIT_EXCEEDED").when(F.col("largest_payload") > max_payload, "LEDGER_PAYLOAD_LIMIT_EXCEEDED").when(F.col("payload_bytes") > max_bytes, "LEDGER_BYTES_LIMIT_EXCEEDED")
+    return bounds(ledger).withColumn("problem", problem)

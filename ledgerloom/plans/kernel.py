@@ -8,7 +8,7 @@ from ledgerloom.functions.temporal import epoch_seconds, instant_text, reference
 from ledgerloom.functions.text import line_count, source_lines
 from ledgerloom.operators import constraints as C, contradictions, evidence as E, impact as M, ledger as L, legacy as G, material, pack, replay, revisions as R
 from ledgerloom.operators.ordered import with_previous
-from ledgerloom.runtime import table
+from ledgerloom.runtime import Scratch, table
 from ledgerloom.sources import ingest
 from ledgerloom.sources.tables import current_claims, current_snapshots
 
@@ -240,25 +240,28 @@ def log_reconcile(spark, d):
 
 
 def set_difference(spark, d):
-    """Claims each snapshot is cited by against those whose continuity it shares."""
-    (e,) = _t(spark, d, "events")
-    left = e.where("event_id % 5 <> 0").select("user_id", "event_type")
-    right = e.where("value > 2.5").select("user_id", "event_type")
-    return replay.set_difference(left, right, "user_id", "event_type")
+    """Claims that cite the first revision of a source against those that cite its newest one, per source."""
+    e, s = _t(spark, d, "evidence_refs", "source_snapshots")
+    snaps = s.where("snapshot_id is not null and source_id is not null and version is not null").select(F.lower("snapshot_id").alias("sk"), "source_id", "version").distinct()
+    ends = snaps.groupBy("source_id").agg(F.min("version").alias("first"), F.max("version").alias("newest"))
+    cites = e.select(reference_key(F.col("claim_id")).alias("claim_key"), reference_key(F.col("snapshot_id")).alias("sk")).where("claim_key is not null and sk is not null").distinct()
+    j = cites.join(snaps, "sk").join(ends, "source_id")
+    return replay.set_difference(j.where("version = first"), j.where("version = newest"), "source_id", "claim_key")
 
 
 def _ledger(spark, d) -> DataFrame:
-    """A ledger of the events with gaps, broken links and altered entries at fixed places."""
+    """A linked ledger of the events, afterwards damaged at fixed places: altered links and payloads, missing entries."""
     (e,) = _t(spark, d, "events")
-    own = lambda i: F.sha2(F.concat_ws("|", i.cast("string"), F.lit("entry")), 256)
-    seq = F.col("event_id") + 1
-    link = F.when(seq == 1, F.lit(L.GENESIS)).when(seq % 97 == 0, F.lit("f" * 64)).otherwise(own(seq - 1))
-    rows = e.select(seq.alias("sequence"), F.concat(F.lit("e"), F.col("event_id")).alias("entry_id"), "event_type", F.lit("user").alias("aggregate_type"), F.col("user_id").cast("string").alias("aggregate_id"), F.col("props").alias("payload_json"), link.alias("previous_hash"), own(seq).alias("entry_hash"), F.lit("2024-01-01T00:00:00Z").alias("created_at"))
-    return rows.where("sequence % 101 <> 0")
+    rows = e.select("event_id", F.concat(F.lit("e"), F.col("event_id")).alias("entry_id"), "event_type", F.lit("user").alias("aggregate_type"), F.col("user_id").cast("string").alias("aggregate_id"), F.col("props").alias("payload_json"), F.lit("2024-01-01T00:00:00Z").alias("created_at"))
+    sound = L.appended(rows, "event_id", Scratch(spark))
+    seq = F.col("sequence")
+    link = F.when(seq % 97 == 0, F.lit("f" * 64)).otherwise(F.col("previous_hash"))
+    payload = F.when(seq % 89 == 0, F.concat("payload_json", F.lit(" "))).otherwise(F.col("payload_json"))
+    return sound.withColumn("previous_hash", link).withColumn("payload_json", payload).where("sequence % 101 <> 0")
 
 
 def ledger_links(spark, d):
-    return L.chain_issues(_ledger(spark, d)).where("code <> 'DIGEST_MISMATCH'")
+    return L.chain_issues(_ledger(spark, d))
 
 
 def ledger_digests(spark, d):
@@ -271,7 +274,7 @@ def ledger_bounds(spark, d):
 
 
 def ledger_incremental(spark, d):
-    return L.entries(_ledger(spark, d), after=5_000, event_types=["purchase", "signup"]).select("sequence", "event_type", "aggregate_id")
+    return L.entries(_ledger(spark, d), after=500, event_types=["purchase", "signup"], aggregate_type="user").select("sequence", "event_type", "aggregate_id")
 
 
 def event_gaps(spark, d):

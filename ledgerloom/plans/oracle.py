@@ -92,8 +92,19 @@ li as (select 'SNAPSHOT_VERSION_GAP' code, snapshot_id from lb where version > 1
 """
 
 _LOG = "select user_id claim, event_id seq, event_type to_status, case event_id % 3 when 0 then 'view' when 1 then 'click' else 'error' end from_status, value from events"
-_LEDGER = """select * from (select event_id + 1 as sequence, 'e' || event_id entry_id, event_type, 'user' aggregate_type, cast(user_id as varchar) aggregate_id, props payload_json,
-  case when event_id = 0 then repeat('0', 64) when (event_id + 1) % 97 = 0 then repeat('f', 64) else sha256(event_id || '|entry') end previous_hash, sha256((event_id + 1) || '|entry') entry_hash from events) where sequence % 101 <> 0"""
+
+
+def _entry(previous: str, sequence: str = '"sequence"') -> str:
+    part = lambda name, value: f"""'"{name}":"' || {value} || '"'"""
+    strings = {"aggregate_id": "aggregate_id", "aggregate_type": "'user'", "created_at": "'2024-01-01T00:00:00Z'", "entry_id": "entry_id", "event_type": "event_type", "payload_json": """replace(payload_json, '"', chr(92) || '"')""", "previous_hash": previous}
+    return "'{' || " + " || ',' || ".join(part(n, v) for n, v in strings.items()) + f""" || ',"sequence":' || {sequence} || '}}'"""
+
+
+_LEDGER_ROWS = f"""with recursive ev as materialized (select event_id + 1 as "sequence", 'e' || event_id entry_id, event_type, cast(user_id as varchar) aggregate_id, props payload_json from events),
+ch("sequence", h, prev) as (select 0::bigint, repeat('0', 64), '' union all select ev."sequence", sha256({_entry('ch.h', 'ev."sequence"')}), ch.h from ch join ev on ev."sequence" = ch."sequence" + 1),
+lg as (select ev."sequence", entry_id, event_type, 'user' aggregate_type, aggregate_id, case when ev."sequence" % 89 = 0 then payload_json || ' ' else payload_json end payload_json,
+  case when ev."sequence" % 97 = 0 then repeat('f', 64) else ch.prev end previous_hash, ch.h entry_hash from ev join ch on ev."sequence" = ch."sequence" where ev."sequence" % 101 <> 0)
+"""
 
 _ANCHOR = f"""select distinct on (evidence_id) evidence_id, {_key('snapshot_id')} sk, start_line a, end_line z, {_lf('quote')} q, content_hash h, {_digest('content_hash')} dg from evidence_refs"""
 _ERROR = """case when sk is null then 'SNAPSHOT_ID_REQUIRED' when a is null or z is null or a < 1 or z < a then 'INVALID_LINE_RANGE' when q is null then 'QUOTE_REQUIRED'
@@ -223,13 +234,16 @@ select claim, arg_max(state, i) state, arg_max({{'v': v}}, i).v as "value" from
 r0 as (select event_id, case when event_id % 17 = 0 then 'other' else event_type end event_type, user_id from events where event_id % 13 <> 0), r as (select * from r0 union all select * from r0 where event_id % 19 = 0),
 a as (select event_id, count(*) n, min(event_type) t, min(user_id) u from l group by 1), b as (select event_id, count(*) n, min(event_type) t, min(user_id) u from r group by 1)
 select * from (select coalesce(a.event_id, b.event_id) event_id, case when b.n is null then 'MISSING_RIGHT' when a.n is null then 'MISSING_LEFT' when a.n > 1 or b.n > 1 then 'DUPLICATE' when (a.t, a.u) <> (b.t, b.u) then 'DIFFERENT' end verdict from a full join b on a.event_id = b.event_id) where verdict is not null""",
-    "set_difference": """with l as (select distinct user_id, event_type from events where event_id % 5 <> 0), r as (select distinct user_id, event_type from events where value > 2.5)
-select *, 'left' only_in from (select * from l except select * from r) union all select *, 'right' from (select * from r except select * from l)""",
-    "ledger_links": f"""with g as ({_LEDGER}), j as (select g.*, b.entry_hash was from g left join g b on g.sequence = b.sequence + 1)
-select sequence, 'SEQUENCE_GAP' code from j where sequence > 1 and was is null union all select sequence, 'LINK_MISMATCH' from j where previous_hash is distinct from case when sequence = 1 then repeat('0', 64) else was end and (sequence = 1 or was is not null)""",
-    "ledger_digests": f"""select sequence, sha256('{{"aggregate_id":"' || aggregate_id || '","aggregate_type":"' || aggregate_type || '","created_at":"2024-01-01T00:00:00Z","entry_id":"' || entry_id || '","event_type":"' || event_type || '","payload_json":"' || replace(payload_json, '"', '\\"') || '","previous_hash":"' || previous_hash || '","sequence":' || sequence || '}}') digest from ({_LEDGER})""",
-    "ledger_bounds": f"select count(*) entries, cast(sum(octet_length(encode(payload_json))) as bigint) payload_bytes, max(octet_length(encode(payload_json))) largest_payload from ({_LEDGER})",
-    "ledger_incremental": f"select sequence, event_type, aggregate_id from ({_LEDGER}) where sequence > 5000 and event_type in ('purchase', 'signup') order by sequence",
+    "set_difference": f"""with s as (select distinct lower(snapshot_id) sk, source_id, version from source_snapshots where version is not null and source_id is not null), m as (select source_id, min(version) lo, max(version) hi from s group by 1),
+c as (select distinct {_key('claim_id')} claim_key, {_key('snapshot_id')} sk from evidence_refs), j as (select source_id, claim_key, bool_or(version = lo) l, bool_or(version = hi) r from c join s using (sk) join m using (source_id) where claim_key is not null group by 1, 2)
+select source_id, claim_key, case when l then 'left' else 'right' end only_in from j where l <> r""",
+    "ledger_links": _LEDGER_ROWS
+    + f""", j as (select lg.*, b.entry_hash was, sha256({_entry('lg.previous_hash')}) dg from lg left join (select "sequence" + 1 nx, entry_hash from lg) b on lg."sequence" = b.nx)
+select "sequence", 'SEQUENCE_GAP' code from j where "sequence" > 1 and was is null union all select "sequence", 'LINK_MISMATCH' from j where previous_hash is distinct from case when "sequence" = 1 then repeat('0', 64) else was end and ("sequence" = 1 or was is not null)
+union all select "sequence", 'DIGEST_MISMATCH' from j where dg <> entry_hash""",
+    "ledger_digests": _LEDGER_ROWS + f"select \"sequence\", sha256({_entry('previous_hash')}) digest from lg",
+    "ledger_bounds": _LEDGER_ROWS + "select count(*) entries, cast(sum(octet_length(encode(payload_json))) as bigint) payload_bytes, max(octet_length(encode(payload_json))) largest_payload from lg",
+    "ledger_incremental": _LEDGER_ROWS + "select \"sequence\", event_type, aggregate_id from lg where \"sequence\" > 500 and event_type in ('purchase', 'signup') order by \"sequence\"",
     "event_gaps": "select event_id, epoch_us(ts) - lag(epoch_us(ts)) over (order by event_id) gap from events",
     "impact_report": _IMPACT + "select * from rep",
     "impact_summary": _IMPACT + "select " + ", ".join(f"count(*) filter (outcome = '{o}') {o.lower()}" for o in ("SAME_POSITION", "EXACT_MOVED_UNIQUE", "EXACT_MOVED_AMBIGUOUS", "NO_EXACT_MATCH", "INVALID_EVIDENCE")) + " from rep",

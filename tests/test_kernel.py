@@ -55,7 +55,7 @@ def test_evidence_codes(spark):
         ("CONTINUITY_MISMATCH", "c1", "other"), ("SNAPSHOT_LINE_COUNT_MISMATCH", "c1", "other"), ("QUOTE_MISMATCH", "c1", "other"), ("INVALID_CONTENT_HASH", "c1", "other"),
         ("INVALID_LINE_RANGE", "c1", "range"), ("LINE_RANGE_OUT_OF_BOUNDS", "c1", "beyond"), ("CONTENT_HASH_MISMATCH", "c3", "hash"), ("CLAIM_CONTINUITY_MISSING", "c3", None), ("EVIDENCE_REQUIRED", "c2", None),
     }
-    assert {c for c, _, _ in got} | {"SNAPSHOT_CONTINUITY_MISSING"} == set(E.CODES)
+    assert {c for c, _, _ in got} | {"SNAPSHOT_CONTINUITY_MISSING", "INVALID_QUOTE"} == set(E.CODES)
 
 
 def test_contradictions_in_blocks(spark, monkeypatch):
@@ -243,3 +243,34 @@ def test_ledger_append(spark, monkeypatch):
     monkeypatch.setattr(L, "MAX_BATCH", 5)
     with pytest.raises(ValueError):
         L.linked(batch, "o", 0)
+
+
+def test_quotes_that_are_no_text(spark):
+    s = spark.createDataFrame([("s1", "o", "a\nb", 2)], "snapshot_id string, source_id string, content string, line_count bigint")
+    c = spark.createDataFrame([("c1", "k")], "claim_id string, continuity string")
+    o = spark.createDataFrame([("o", "k")], "source_id string, continuity string")
+    e = spark.createDataFrame([("e1", "c1", "s1", 1, 1)], "evidence_id string, claim_id string, snapshot_id string, start_line bigint, end_line bigint")
+    e = e.selectExpr("*", "cast(unhex('61ff') as string) as quote", "cast(null as string) as content_hash")
+    assert [(r.code, r.evidence_id) for r in E.issues(c, e, s, o).collect()] == [("INVALID_QUOTE", "e1")]
+    assert M.anchors(e).select("error").first()[0] == "INVALID_UNICODE_QUOTE"
+
+
+def test_too_many_places_fail(spark):
+    q = M.anchors(spark.createDataFrame([("e", "s", 1, 1, "x", None), ("f", "s", 1, 1, "y", None)], "evidence_id string, snapshot_id string, start_line bigint, end_line bigint, quote string, content_hash string"))
+    t = spark.createDataFrame([("t", "x\n" * 6 + "y\n" * 3)], "target_id string, content string")
+    asked = q.withColumn("target_id", F.lit("t"))
+    assert {r.evidence_id: r.n_candidates for r in M.classify(asked, t, max_candidates=6).collect()} == {"e": 6, "f": 3}
+    with pytest.raises(Exception, match="CANDIDATE_LIMIT"):
+        M.classify(asked, t, max_candidates=5).collect()
+
+
+def test_ledger_linked_in_steps(spark):
+    from ledgerloom.runtime import Scratch
+
+    rows = spark.createDataFrame([(i, f"e{i}", "t", "user", "1", "{}", "2024") for i in range(10)], "i bigint, entry_id string, event_type string, aggregate_type string, aggregate_id string, payload_json string, created_at string")
+    whole = L.appended(rows, "i", Scratch(spark))
+    steps = L.appended(rows, "i", Scratch(spark), step=4)
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, steps.collect())) and L.chain_issues(steps).count() == 0
+    assert L.appended(rows.limit(0), "i", Scratch(spark)).count() == 0
+    with pytest.raises(ValueError):
+        L.appended(rows, "i", Scratch(spark), reserved=("t",))
