@@ -9,6 +9,11 @@ from ledgerloom.functions.text import stable_id
 from ledgerloom.operators.revisions import allocate
 
 
+# Older words of statuses and access policies; fixed values. Present words stand for themselves.
+STATUS = {"AUTHORIZED": "AUTHORIZED", "REJECTED": "REJECTED", "PROPOSED": "PROPOSED", "DISPUTED": "DISPUTED", "ACCEPTED": "AUTHORIZED", "APPROVED": "AUTHORIZED", "ACTIVE": "AUTHORIZED", "DENIED": "REJECTED", "INVALID": "REJECTED", "PENDING": "PROPOSED", "CONFLICTED": "DISPUTED"}
+ACCESS = {"AGENT_ACCESSIBLE": "agent_accessible", "HUMAN_ONLY": "human_only", "HIDDEN": "hidden", "AGENT": "agent_accessible", "ACCESSIBLE": "agent_accessible", "PUBLIC": "agent_accessible", "HUMAN": "human_only", "PRIVATE": "human_only", "NONE": "hidden"}
+
+
 def first_filled(*columns: Column) -> Column:
     """The first column that is neither null nor blank."""
     return F.coalesce(*[F.when(strip(c) != "", c) for c in columns])
