@@ -42,10 +42,17 @@ def row_digests(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     return df.select(key, F.sha2(canonical_json(df, fields), 256).alias("digest"))
 
 
-def set_digests(df: DataFrame, owner: str, fields: list[str]) -> DataFrame:
+#: Rows of one owner whose digests are gathered (64 MB of digests); more fail.
+MAX_SET_ROWS = 1_000_000
+
+
+def set_digests(df: DataFrame, owner: str, fields: list[str], max_rows: int = MAX_SET_ROWS) -> DataFrame:
     """owner, n, digest: digest of each owner's set of rows, whatever their order, repeats kept.
 
-    Rows are digested first and only digests are gathered; the sorted digests of one owner have to fit one row.
+    Rows are digested first and only digests are gathered. They are counted before (combined before the shuffle), and
+    an owner with more than max_rows fails the call.
     """
+    if df.groupBy(owner).agg(F.count("*").alias("n")).where(F.col("n") > max_rows).limit(1).count():
+        raise ValueError(f"more than {max_rows} rows of one owner")
     rows = df.select(owner, F.sha2(canonical_json(df, fields), 256).alias("d"))
     return rows.groupBy(owner).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.sort_array(F.collect_list("d")), "\n"), 256).alias("digest"))

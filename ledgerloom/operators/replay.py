@@ -33,16 +33,39 @@ def state_in_force(log: DataFrame, key: str, order: str, state_col: str, first:
     return j.withColumn("in_force", F.coalesce("_in", "_carry", F.lit(first))).drop("_block", "_in", "_carry")
 
 
-def last_valid(log: DataFrame, key: str, order: str, from_col: str, to_col: str, value_col: str, first: str) -> DataFrame:
+#: States of one fold; a block's effect is told for each of them.
+MAX_STATES = 100
+
+
+def last_valid(log: DataFrame, key: str, order: str, from_col: str, to_col: str, value_col: str, first: str, width: int = BLOCK) -> DataFrame:
     """key, state, value: a fold that advances only on rows whose from-state is the state reached so far.
 
-    Whether a row counts depends on all rows before it, so this is a true fold over each aggregate's own log
-    (`aggregate` over a sorted array, JVM-side); an aggregate's log has to fit one row.
+    Whether a row counts depends on all rows before it. The log of an aggregate is cut into blocks of `width` order
+    numbers; each block is folded from every state there is (at most MAX_STATES, else the call fails), all at the same
+    time, and a second fold over one row per block follows the states through. So no task holds more of an aggregate
+    than a block and the list of its blocks. Null keys are an aggregate of their own; a null order counts as 0.
     """
-    rows = log.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, from_col, to_col, value_col))).alias("log"))
-    start = F.struct(F.lit(first).alias("state"), F.lit(None).cast(dict(log.dtypes)[value_col]).alias("value"))
-    step = lambda acc, x: F.when(x[from_col] == acc["state"], F.struct(x[to_col].alias("state"), x[value_col].alias("value"))).otherwise(acc)
-    return rows.select(key, F.aggregate("log", start, step).alias("r")).select(key, "r.state", "r.value")
+    pairs = log.select(F.explode(F.array_compact(F.array(from_col, to_col))).alias("s")).distinct().limit(MAX_STATES + 1).collect()
+    if len(pairs) > MAX_STATES:
+        raise ValueError(f"a fold over more than {MAX_STATES} states")
+    states = sorted({r.s for r in pairs} | {first})
+    kind = dict(log.dtypes)[value_col]
+    # seen: whether the block has set the value, which may be null
+    start = lambda s: F.struct(s.alias("state"), F.lit(None).cast(kind).alias("value"), F.lit(False).alias("seen"))
+    step = lambda acc, x: F.when(x["f"] == acc["state"], F.struct(x["t"].alias("state"), x["v"].alias("value"), F.lit(True).alias("seen"))).otherwise(acc)
+    b = log.select(F.col(key).alias("_key"), F.floor(F.coalesce(F.col(order), F.lit(0)) / F.lit(width)).cast("long").alias("_block"), F.struct(F.col(order).alias("o"), F.col(from_col).alias("f"), F.col(to_col).alias("t"), F.col(value_col).alias("v")).alias("_row"))
+    rows = b.groupBy("_key", "_block").agg(F.array_sort(F.collect_list("_row")).alias("rows"))
+    effects = rows.select("_key", "_block", F.transform(F.array(*[F.lit(s) for s in states]), lambda s: F.aggregate("rows", start(s), step)).alias("ends"))
+    blocks = effects.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("_block", "ends"))).alias("blocks"))
+    # states may be left for null, from which no row leads on
+    at = lambda acc: F.array_position(F.array(*[F.lit(s) for s in states]), acc["state"]).cast("int")
+
+    def follow(acc, x):
+        end = F.element_at(x["ends"], at(acc))
+        value = F.when(end["seen"], end["value"]).otherwise(acc["value"])
+        return F.when(acc["state"].isNull(), acc).otherwise(F.struct(end["state"].alias("state"), value.alias("value"), F.lit(True).alias("seen")))
+
+    return blocks.select(F.col("_key").alias(key), F.aggregate("blocks", start(F.lit(first)), follow).alias("r")).select(key, "r.state", "r.value")
 
 
 def reconcile(left: DataFrame, right: DataFrame, key: str, compared: list[str]) -> DataFrame:

@@ -14,11 +14,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerloom.functions.temporal import reference_key
-from ledgerloom.runtime import Scratch, small
+from ledgerloom.runtime import Scratch, slices, small
 
 #: One key in so many ends a chunk.
 CHUNK_KEYS = 16
@@ -120,8 +119,6 @@ def chunks_of(entries: list[dict[str, str]], chunk_keys: int = CHUNK_KEYS, layou
 
 
 _CHUNK_SCHEMA = "id string, prev string, media string, ok boolean, digest binary, chunks array<struct<digest:binary,rows:array<struct<k:string,d:binary>>>>"
-#: Bytes of content that are read at once.
-BATCH_BYTES = 16_000_000
 
 
 def _parsed(layout: Layout):
@@ -140,16 +137,8 @@ def _parsed(layout: Layout):
         return pa.RecordBatch.from_pydict(out, schema=kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at, size = 0, 0
-            lengths = pa.compute.fill_null(pa.compute.binary_length(b.column("content")), 0).to_pylist()
-            for i, n in enumerate(lengths):
-                if size and size + n > BATCH_BYTES:
-                    yield read(b.slice(at, i - at))
-                    at, size = i, 0
-                size += n
-            if at < b.num_rows:
-                yield read(b.slice(at))
+        for b in slices(batches, "content"):
+            yield read(b)
 
     return run
 

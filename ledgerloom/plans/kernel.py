@@ -227,7 +227,7 @@ def state_in_force(spark, d):
 
 def last_valid_value(spark, d):
     """A fold: only steps from the state reached so far count."""
-    return replay.last_valid(_log(spark, d), "claim", "seq", "from_status", "to_status", "value", "view")
+    return replay.last_valid(_log(spark, d), "claim", "seq", "from_status", "to_status", "value", "view", width=1_000)
 
 
 def log_reconcile(spark, d):

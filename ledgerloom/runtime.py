@@ -8,8 +8,11 @@ import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 TABLES = (
@@ -70,6 +73,22 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+#: Bytes of one column that Python works on at once.
+SLICE_BYTES = 3_000_000
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut so that a text or binary column has about `size` bytes in each, one row at least."""
+    for b in batches:
+        ends = pc.cumulative_sum(pc.fill_null(pc.binary_length(b.column(column)), 0).cast(pa.int64())).to_numpy(zero_copy_only=False) if b.num_rows else []
+        at = 0
+        while at < b.num_rows:
+            done = ends[at - 1] if at else 0
+            to = max(at + 1, int(ends.searchsorted(done + size, "right")))
+            yield b.slice(at, to - at)
+            at = to
+
+
 class Scratch:
     """Intermediate tables written to the shared folder, which cuts lineage and survives lost executors.
 

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ledgerloom.functions.text import source_lines
+from ledgerloom.runtime import slices
 
 # Media types by extension; fixed values.
 MEDIA_TYPES = {".txt": "text/plain", ".md": "text/markdown", ".markdown": "text/markdown", ".json": "application/json", ".srt": "application/x-subrip"}
@@ -36,20 +37,24 @@ def decode(data: bytes, encoding: str | None = None) -> str | None:
 def read_texts(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
     """path, media_type, n_bytes, content, problem of each file of a known format under path.
 
-    Files over the byte limit are listed without content (FILE_TOO_LARGE); their bytes are not decoded. A file whose
-    bytes are not valid text has UNDECODABLE.
+    Files over the byte limit are listed without content (FILE_TOO_LARGE) and never opened. A file whose bytes are not
+    valid text has UNDECODABLE; an unknown codec raises LookupError here.
     """
+    if encoding:
+        codecs.lookup(encoding)  # an unknown codec is the caller's error, told before any file is read
     kinds = "{" + ",".join(f"*{e}" for e in MEDIA_TYPES) + "}"
     files = spark.read.format("binaryFile").option("pathGlobFilter", kinds).option("recursiveFileLookup", "true").load(path)
     media = F.coalesce(*[F.when(F.lower("path").endswith(e), m) for e, m in MEDIA_TYPES.items()])
-    rows = files.select("path", media.alias("media_type"), F.col("length").alias("n_bytes"), F.when(F.col("length") <= MAX_FILE_BYTES, F.col("content")).alias("data"))
+    # the reader is given the size limit and the columns, so larger files are listed and never opened
+    some = files.where(F.col("length") <= MAX_FILE_BYTES).select("path", media.alias("media_type"), F.col("length").alias("n_bytes"), F.col("content").alias("data"))
+    large = files.where(F.col("length") > MAX_FILE_BYTES).select("path", media.alias("media_type"), F.col("length").alias("n_bytes"), F.lit(None).cast("string").alias("content"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, "data"):
             text = [None if d is None else decode(d, encoding) for d in b.column("data").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("path"), b.column("media_type"), b.column("n_bytes"), pa.array(text, pa.string())], names=["path", "media_type", "n_bytes", "content"])
 
-    out = rows.mapInArrow(run, "path string, media_type string, n_bytes bigint, content string")
+    out = some.mapInArrow(run, "path string, media_type string, n_bytes bigint, content string").unionByName(large)
     problem = F.when(F.col("n_bytes") > MAX_FILE_BYTES, "FILE_TOO_LARGE").when(F.col("content").isNull(), "UNDECODABLE")
     return out.withColumn("problem", problem)
 

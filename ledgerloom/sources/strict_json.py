@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ledgerloom.runtime import slices
 from ledgerloom.sources.ingest import MAX_FILE_BYTES
 
 # Codes of the problems; fixed values.
@@ -73,7 +74,7 @@ def json_issues(df: DataFrame, key: str, text: str, max_depth: int = MAX_DEPTH,
     long = F.octet_length("text") > max_bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, "text"):
             found = [problem(t, max_depth, max_bytes) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(found, pa.string())], names=["key", "code"])
 

@@ -200,3 +200,13 @@ def test_orphans_of_a_hot_key_and_of_the_month_a_key_was_born(spark):
 
     counted = Counter((p, k) for _, k, p in want)
     assert {(r.period, r.kind): r.n for r in O.orphan_report(t, own, targets, withdrawn).collect()} == dict(counted)
+
+
+def test_slices_are_cut_by_bytes():
+    import pyarrow as pa
+
+    from ledgerloom.runtime import slices
+
+    b = pa.RecordBatch.from_pydict({"t": ["aa", None, "", "b" * 50, "c", "dd"], "i": list(range(6))})
+    got = [x.column("i").to_pylist() for x in slices(iter([b, b.slice(0, 0), b.slice(4)]), "t", 4)]
+    assert got == [[0, 1, 2], [3], [4, 5], [4, 5]]

@@ -80,6 +80,7 @@ def test_replays(spark, width):
     decided = df.withColumn("d", F.when(F.col("t") == "A", F.col("v")).cast("string"))
     force = {r.seq: r.in_force for r in replay.state_in_force(decided, "k", "seq", "d", "none", width=width).collect()}
     folded = {r.k: (r.state, r.value) for r in replay.last_valid(df, "k", "seq", "f", "t", "v", "P").collect()}
+    assert folded == {r.k: (r.state, r.value) for r in replay.last_valid(df, "k", "seq", "f", "t", "v", "P", width=3).collect()}
     for k in "ab":
         state, seen, valid, value = "P", "none", "P", None
         for _, seq, f, t, v in (r for r in log if r[0] == k):
