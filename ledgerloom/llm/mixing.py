@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ledgerloom.llm.tokens import TOKENIZER, encoding
-from ledgerloom.runtime import Scratch
+from ledgerloom.runtime import Scratch, slices
 
 #: Sources of one mix; more is refused. Tables of one row per source are broadcast under this bound.
 MAX_SOURCES = 10_000
@@ -28,7 +28,7 @@ def sized_texts(df: DataFrame, id_col: str, text_col: str, source_col: str, toke
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoding(tokenizer).encode_ordinary
-        for b in batches:
+        for b in slices(batches, "text"):
             texts = [t or "" for t in b.column("text").to_pylist()]
             n = pa.array([len(encode(t)) for t in texts], pa.int64())
             d = pa.array([hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in texts], pa.binary())

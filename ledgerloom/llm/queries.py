@@ -92,9 +92,21 @@ def p9_corpus(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p4_found, p4_shared, p7_containers, p7_fill, p7_shares, p8_mix, p8_shares, p9_found, p9_corpus)}
 _EOL = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
 _PARTS = f"regexp_split_to_array(content, '{_EOL}')"
+_CITED = r"nullif(lower(regexp_replace(e.snapshot_id, '^[\s\x0b\x1c-\x1f\x{85}\x{a0}]+|[\s\x0b\x1c-\x1f\x{85}\x{a0}]+$', '', 'g')), '')"
+_RUNS = f"""with rec as (select false probe, snapshot_id "key", any_value(source_id) "owner", max(content) t from source_snapshots where source_id is not null and length(content) >= 180 group by 2
+  union all select true, evidence_id, min(o.source_id), max(quote) from evidence_refs e join (select lower(snapshot_id) k, min(source_id) source_id from source_snapshots where source_id is not null group by 1) o on {_CITED} = o.k where length(quote) >= 180 group by 2),
+win as (select probe, "key", "owner", i, hash(substr(t, i, 180)) h from (select *, unnest(range(1, length(t) - 178)) i from rec)),
+hot as (select h from win group by h having count(distinct "owner") > 1),"""
 SQL: dict[str, str] = {
     "p1_found": f"""with s as (select snapshot_id, max(content) as content from source_snapshots group by 1),
 l as (select snapshot_id, content, case when {_PARTS}[-1] = '' then {_PARTS}[:-2] else {_PARTS} end ln from s),
 o as (select * from l where octet_length(encode(content)) > 3000 or len(ln) > 60)
 select snapshot_id, 0::bigint line_no from o union all select snapshot_id, i from (select snapshot_id, unnest(ln) x, generate_subscripts(ln, 1) i from o) where octet_length(encode(x)) > 3000""",
+    # every run of 180 characters of every record, hashed
+    "p4_found": f"""{_RUNS} w as (select distinct probe, "key", "owner", h from win where h in (select h from hot)),
+g as (select h, list(distinct "key" order by "key") ks from w group by h), one as (select min(h) h from g group by ks)
+select distinct a."key" key_a, b."key" key_b from (select * from w where h in (select h from one)) a join w b on a.h = b.h and a."key" < b."key" and a."owner" <> b."owner" and not (a.probe and b.probe)""",
+    "p4_shared": f"""{_RUNS} p as (select "key", i from win where h in (select h from hot)),
+c as (select "key", sum(least(180, coalesce(nx - i, 180))) shared_chars from (select *, lead(i) over (partition by "key" order by i) nx from p) group by 1)
+select c."key", length(t) n_chars, cast(shared_chars as bigint) shared_chars, shared_chars / length(t) "share" from c join rec using ("key")""",
 }
