@@ -153,6 +153,23 @@ fd as (select ref_field, row_key, case when st.k is not null then case when st.b
   from rf left join st on rf.t = st.t and rf.k = st.k left join gone on rf.t = gone.t and rf.k = gone.k where rf.k is not null)
 """
 
+_FIELDS = ("item", "holder", "place", "count", "note")
+_CELLS = r"regexp_split_to_array(replace(regexp_replace(regexp_replace(trim(l), '^[|]', ''), '[|]$', ''), chr(92) || '|', chr(1)), '[|]')"
+_P3 = f"""
+with s as (select snapshot_id id, min({_key('previous_snapshot_id')}) prev, min(lower(coalesce(media_type, ''))) media, min(coalesce(content, '')) content from source_snapshots where source_id in (select source_id from sources where source_key like 'register/%') group by 1),
+k as (select *, media not like '%json%' or json_valid(content) ok from s),
+pr as (select a.id pair, b.id old from k a join k b on a.prev = lower(b.id) where a.ok and b.ok),
+js as (select id, unnest(cast(case when json_type(content) = 'ARRAY' then json(content) else json_extract(content, '$.entries') end as json[])) e from k where media like '%json%' and ok),
+ln as (select id, unnest(x) l, generate_subscripts(x, 1) no from (select id, {_lines('content')} x from k where media not like '%json%')),
+ce as (select id, no, list_transform({_CELLS}, lambda x: trim(replace(x, chr(1), '|'))) c from ln where l like '%|%'),
+hd as (select id, arg_min(list_transform(c, lambda x: lower(x)), no) h, min(no) head_no from ce where list_contains(list_transform(c, lambda x: lower(x)), 'entry') group by 1),
+md as (select ce.id, no, {', '.join(f"coalesce(c[list_position(h, '{f}')], '') f_{f}" for f in ('entry', *_FIELDS))} from ce join hd using (id) where no > head_no and len(list_filter(c, lambda x: not regexp_matches(x, '^:?-+:?$'))) > 0),
+al as (select id, row_number() over () no, {', '.join(f"trim(coalesce(e->>'{f}', '')) f_{f}" for f in ('entry', *_FIELDS))} from js union all select * from md),
+en as (select distinct on (id, f_entry) id, f_entry entry, [{', '.join(f'f_{f}' for f in _FIELDS)}] v from al where f_entry <> '' order by id, f_entry, no),
+n as (select pair, entry, v from pr join en on en.id = pair), o as (select pair, entry, v from pr join en on en.id = old)
+select coalesce(n.pair, o.pair) snapshot_id, coalesce(n.entry, o.entry) entry, case when o.pair is null then 'added' when n.pair is null then 'removed' else 'changed' end change from n full join o on n.pair = o.pair and n.entry = o.entry where n.v is distinct from o.v
+"""
+
 
 def _blank(c: str) -> str:
     return f"({c} is null or {_strip(c)} = '')"
@@ -171,6 +188,10 @@ w as (select *, max(e) over (partition by persona_id, continuity, subject, predi
 SQL: dict[str, str] = {
     "p2_found": _P2_FOUND + "select id snapshot_id, root root_snapshot_id, cast(d as bigint) depth from down union all select low.id, low.root, cast(case when low.id in (select id from ring) then -1 else -2 end as bigint) from low",
     "p2_paths": _DOWN + "select id snapshot_id, root root_id, cast(d as bigint) depth, array_to_string(path, '/') path from down union all select low.id, low.root, cast(case when low.id in (select id from ring) then -1 else -2 end as bigint), null from low",
+    "p2_sizes": _DOWN
+    + """, n as (select anc, count(*) n from (select unnest(path) anc from down) group by 1)
+select down.id snapshot_id, root root_id, cast(d as bigint) depth, n - 1 n_descendants, n n_subtree from down join n on anc = down.id union all select low.id, low.root, cast(case when low.id in (select id from ring) then -1 else -2 end as bigint), null, null from low""",
+    "p3_found": _P3,
     "p2_descendants": _DOWN + "select path[i] ancestor_id, id descendant_id, cast(d + 1 - i as bigint) distance from (select id, d, path, unnest(range(1, d + 1)) i from down)",
     "p5_found": _P5 + "select * from fd where kind is not null",
     "p5_report": _P5 + "select ref_field, period, kind, count(*) n from fd where kind is not null group by all",

@@ -19,6 +19,12 @@ def p2_intervals(spark: SparkSession, d: str) -> DataFrame:
     return t.select(F.col("id").alias("snapshot_id"), "root_id", "depth", "entry", "exit", "n_descendants")
 
 
+def p2_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Depth and number of descendants of each snapshot, from the intervals."""
+    t = H.hierarchy(table(spark, d, "source_snapshots").select("snapshot_id", "previous_snapshot_id"), "snapshot_id", "previous_snapshot_id")
+    return t.select(F.col("id").alias("snapshot_id"), "root_id", "depth", "n_descendants", ((F.col("exit") - F.col("entry") + 1) / 2).cast("bigint").alias("n_subtree"))
+
+
 def p2_paths(spark: SparkSession, d: str) -> DataFrame:
     """Path from the root of each snapshot."""
     p = H.paths(table(spark, d, "source_snapshots").select("snapshot_id", "previous_snapshot_id"), "snapshot_id", "previous_snapshot_id")
@@ -58,4 +64,4 @@ def p6_periods(spark: SparkSession, d: str) -> DataFrame:
     return I.claim_periods(table(spark, d, "claim_proposals"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_intervals, p2_paths, p2_descendants, p3_found, p5_found, p5_report, p6_found, p6_periods)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_intervals, p2_sizes, p2_paths, p2_descendants, p3_found, p5_found, p5_report, p6_found, p6_periods)}
