@@ -91,7 +91,7 @@ def linked(batch: DataFrame, order: str, last_sequence: int, last_hash: str = GE
 
 
 #: Event types that only their own operations may append; fixed values.
-RESERVED = ("claim_proposed", "claim_evidence_added", "governance_decision", "narrative_event_created", "source_snapshot_created")
+RESERVED = ("claim.proposed", "claim.evidence_added", "claim.material_attested", "narrative_event.created", "narrative_event.material_attested")
 
 
 def appended(batch: DataFrame, order: str, scratch: Scratch, *, last_sequence: int = 0, last_hash: str = GENESIS, step: int = MAX_BATCH, reserved: tuple[str, ...] = ()) -> DataFrame:

@@ -98,11 +98,17 @@ def claims(table: DataFrame, *, persona_id: str | None = None, continuity: str |
     return c if limit is None else c.limit(max(0, limit))
 
 
-def citing(evidence: DataFrame, snapshot_ids: DataFrame) -> DataFrame:
-    """claim_key of the claims with evidence in the snapshots (column snapshot_id)."""
+def citing(evidence: DataFrame, snapshot_ids: DataFrame, owner: str = "claim_id", key: str = "claim_key") -> DataFrame:
+    """key of the claims (or, by another owner column, events) with evidence in the snapshots (column snapshot_id)."""
     keys = snapshot_ids.select(reference_key(F.col("snapshot_id")).alias("snapshot_key")).distinct()
-    e = evidence.select(reference_key(F.col("claim_id")).alias("claim_key"), reference_key(F.col("snapshot_id")).alias("snapshot_key")).where("claim_key is not null").distinct()
-    return e.join(keys, "snapshot_key", "left_semi").select("claim_key").distinct()
+    e = evidence.select(reference_key(F.col(owner)).alias(key), reference_key(F.col("snapshot_id")).alias("snapshot_key")).where(F.col(key).isNotNull()).distinct()
+    return e.join(keys, "snapshot_key", "left_semi").select(key).distinct()
+
+
+def find(table: DataFrame, key: str, value: str):
+    """The row of an id, whichever table it is; ids compare after trimming and lower-casing, redeliveries are one row."""
+    rows = table.where(F.lower(key) == value.strip().lower()).dropDuplicates([key])
+    return one(rows, f"row with {key} {value}")
 
 
 _SPAN = ["evidence_id", "start_line", "end_line", "start_char", "end_char", "quote", "content_hash", "created_at"]

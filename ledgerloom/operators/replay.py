@@ -87,3 +87,21 @@ def set_difference(left: DataFrame, right: DataFrame, owner: str, member: str) -
     side = lambda df, n: df.select(owner, member, F.lit(n).alias("side")).where(F.col(owner).isNotNull() & F.col(member).isNotNull())
     both = side(left, 1).unionByName(side(right, 2)).groupBy(owner, member).agg(F.max(F.col("side") == 1).alias("l"), F.max(F.col("side") == 2).alias("r"))
     return both.where("not (l and r)").select(owner, member, F.when(F.col("l"), "left").otherwise("right").alias("only_in"))
+
+
+def out_of_order(log: DataFrame, key: str, order: str, sequence: str, width: int = BLOCK) -> DataFrame:
+    """The rows whose sequence is not above that of the row before them in the order (of one key); ties of the order
+    are broken by the sequence."""
+    seen = with_previous(log, [key], [order, sequence], {"_was": sequence}, width)
+    return seen.where(F.col("_was") >= F.col(sequence)).drop("_was")
+
+
+def not_first(log: DataFrame, key: str, sequence: str, kind_col: str, opening: str) -> DataFrame:
+    """The keys whose opening entry is missing, repeated, or not before all others; one aggregate, no window.
+
+    key, problem: OPENING_MISSING, OPENING_REPEATED or OPENING_LATE.
+    """
+    is_open = F.col(kind_col).eqNullSafe(F.lit(opening))
+    g = log.groupBy(key).agg(F.count_if(is_open).alias("n"), F.min(F.when(is_open, F.col(sequence))).alias("at"), F.min(F.when(~is_open, F.col(sequence))).alias("rest"))
+    problem = F.when(F.col("n") == 0, "OPENING_MISSING").when(F.col("n") > 1, "OPENING_REPEATED").when(F.col("rest") < F.col("at"), "OPENING_LATE")
+    return g.select(key, problem.alias("problem")).where("problem is not null")

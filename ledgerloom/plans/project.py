@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerloom.functions.temporal import instant_text, reference_key
-from ledgerloom.operators import audit as A, evidence as E, legacy as G, reads, report as P
-from ledgerloom.plans.kernel import KNOWN_AT, VALID_AT, _ledger, _t, project_issues
+from ledgerloom.functions.temporal import reference_key
+from ledgerloom.functions.text import line_count
+from ledgerloom.operators import audit as A, constraints as K, evidence as E, legacy as G, reads, replay as R, report as P
 from ledgerloom.operators.ledger import chain_issues, entries, material_sizes
+from ledgerloom.plans.kernel import KNOWN_AT, VALID_AT, _ledger, _t, project_issues
 from ledgerloom.runtime import Scratch, table
 from ledgerloom.sources import catalog as C, strict_json
 from ledgerloom.sources.tables import current_claims
@@ -253,8 +254,101 @@ def legacy_status(spark, d):
     return o.groupBy(G.mapped(word, G.STATUS, "DISPUTED", "AUTHORIZED").alias("status")).agg(F.count("*").alias("n"))
 
 
+# -- older tables ------------------------------------------------------------------------------------------------
+
+#: A creation time for older rows that have none.
+MOVED_AT = "2026-01-01T00:00:00Z"
+
+
+def _older_claims(spark, d) -> DataFrame:
+    """The claims as an older table had them: other names and words, one source span in the same row."""
+    c, e = _t(spark, d, "claim_proposals", "evidence_refs")
+    span = e.select(reference_key(F.col("claim_id")).alias("ck"), F.struct("evidence_id", reference_key(F.col("snapshot_id")).alias("sk"), "start_line", "end_line").alias("x")).where("ck is not null").groupBy("ck").agg(F.min("x").alias("x"))
+    j = current_claims(c).join(span, F.lower("claim_id") == F.col("ck"), "left")
+    word = F.when(F.col("status") == "AUTHORIZED", "Accepted").when(F.col("status") == "PROPOSED", "pending").when(F.col("status") == "REJECTED", "").otherwise(F.lower("status"))
+    access = F.when(F.col("access_policy") == "agent_accessible", "public").when(F.col("access_policy") == "human_only", "Human-Only").otherwise(F.lit("unknown"))
+    return j.select(
+        F.col("claim_id").alias("ID"), F.col("persona_id").alias("character_id"), F.col("continuity").alias("worldline"), F.when(F.length("text") % 2 == 0, F.col("text")).alias("statement"), "subject",
+        F.col("predicate").alias("relation"), F.col("object_value").alias("object"), word.alias("status"), access.alias("visibility"), (F.col("confidence") * 1.25).alias("confidence"),
+        F.col("valid_from").alias("valid_start"), F.col("valid_to").alias("valid_until"), F.col("knowledge_from").alias("known_from"), F.col("created_at"), F.col("x.sk").alias("source_snapshot_id"),
+        F.col("x.start_line").alias("line_start"), F.col("x.end_line").alias("line_end"),
+    )
+
+
+def _converted(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    s = table(spark, d, "source_snapshots").groupBy("snapshot_id").agg(F.max(line_count(F.col("content"))).alias("line_count"))
+    return G.converted_claims(_older_claims(spark, d), s.select(F.lower("snapshot_id").alias("old_id"), "snapshot_id", "line_count"), MOVED_AT)
+
+
+def converted_claims(spark, d):
+    return _converted(spark, d)[0].select("claim_id", "persona_id", "text", "predicate", "valid_from", "valid_to", "knowledge_from", "access_policy", F.round("confidence", 6).alias("confidence"), "status", "proposed_by", "created_at", "updated_at")
+
+
+def converted_decisions(spark, d):
+    return _converted(spark, d)[1]
+
+
+def converted_evidence(spark, d):
+    return _converted(spark, d)[2].select("evidence_id", "claim_id", "snapshot_id", "start_line", "end_line")
+
+
+def converted_events(spark, d):
+    """Narrative events of an older table made of the stream of events."""
+    (e,) = _t(spark, d, "events")
+    kind = F.when(F.col("event_type") != "error", F.col("event_type"))
+    details = F.when(F.col("event_id") % 3 == 0, F.col("props")).when(F.col("event_id") % 3 == 1, F.lit("no json"))
+    older = e.select(F.col("event_id").alias("id"), F.col("user_id").alias("persona_id"), kind.alias("type"), F.concat_ws(" ", F.lit("event"), "event_id").alias("name"), details.alias("metadata"), F.lit("private").alias("access"))
+    return G.converted_events(older, MOVED_AT).select("event_id", "persona_id", "continuity", "event_type", "title", "details_json", "access_policy", "created_at")
+
+
+def missing_entries(spark, d):
+    """Creation entries that a ledger lacks of half of the claims."""
+    c = current_claims(table(spark, d, "claim_proposals")).select("claim_id", "persona_id", "created_at")
+    have = c.where("length(persona_id) > 6").select(F.lit("claim.proposed").alias("event_type"), F.lit("claim").alias("aggregate_type"), F.col("claim_id").alias("aggregate_id"))
+    return G.missing_entries(c, "claim_id", have, "claim.proposed", "claim", F.concat(F.lit('{"persona_id":"'), F.col("persona_id"), F.lit('"}'))).select("n", "entry_id", "aggregate_id", "payload_json")
+
+
+def claim_shape_issues(spark, d):
+    """Claims that may not be proposed, of claims with blanked texts and raised confidences."""
+    c = current_claims(table(spark, d, "claim_proposals"))
+    worse = c.withColumn("text", F.when(F.length("text") % 5 == 0, F.lit(" ")).otherwise(F.col("text"))).withColumn("confidence", F.col("confidence") + 0.25)
+    return K.broken_rows(worse, "claim_id", K.CLAIM_SHAPE)
+
+
+def payload_claims(spark, d):
+    """Claims read from payloads that also name a status, which is not taken."""
+    c = current_claims(table(spark, d, "claim_proposals"))
+    text = F.to_json(F.struct("persona_id", "subject", "confidence", F.lit("AUTHORIZED").alias("status"), F.lit("me").alias("reviewer")))
+    return K.payload_rows(c.select("claim_id", text.alias("payload")), "claim_id", "payload", {"status": "PROPOSED", "proposed_by": "model:any"}).select("claim_id", "persona_id", "subject", "text", "confidence", "status", "proposed_by")
+
+
+def clock_steps_back(spark, d):
+    """Events of a user whose number is not above that of the event that happened before."""
+    (e,) = _t(spark, d, "events")
+    x = e.select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), (F.col("event_id") + F.when(F.col("event_id") % 7 == 0, -40).otherwise(0)).alias("seq"))
+    return R.out_of_order(x, "user_id", "us", "seq", width=3_600_000_000).select("user_id", "seq")
+
+
+def opening_problems(spark, d):
+    """Users whose log does not start with a signup."""
+    (e,) = _t(spark, d, "events")
+    return R.not_first(e, "user_id", "event_id", "event_type", "signup")
+
+
+def beyond_scope(spark, d):
+    """Personas and continuities that claims name and no authorized claim has."""
+    c = current_claims(table(spark, d, "claim_proposals"))
+    return K.outside(c.where("status <> 'AUTHORIZED'"), c.where("status = 'AUTHORIZED'"), ["persona_id", "continuity", "predicate"])
+
+
+def over_ceilings(spark, d):
+    return K.over_ceilings({t: table(spark, d, t) for t in PROJECT}, 500, 2_000)
+
+
 _NAMES = """snapshots_listed snapshots_of_version claims_listed evidence_listed events_listed event_evidence_issues legacy_listed
 ledger_of_aggregate ledger_sizes evidence_specs claim_material event_material evidence_material evidence_set_material evidence_checkpoints
 material_payloads impact_endpoints impact_between impact_totals project_findings project_totals memory_pack memory_pack_events
-memory_pack_statistics json_issues table_columns table_digests redacted_quotes metadata_problems long_fields proposal_texts legacy_status"""
+memory_pack_statistics json_issues table_columns table_digests redacted_quotes metadata_problems long_fields proposal_texts legacy_status
+converted_claims converted_decisions converted_evidence converted_events missing_entries claim_shape_issues payload_claims
+clock_steps_back opening_problems beyond_scope over_ceilings"""
 QUERIES = {n: globals()[n] for n in _NAMES.split()}

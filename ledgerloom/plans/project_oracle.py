@@ -82,6 +82,17 @@ def _table_digest(name: str) -> str:
 
 _ASCII_CONTROL = r"[\x00-\x1f\x7f\x{80}-\x{9f}\x{61c}\x{200e}\x{200f}\x{202a}-\x{202e}\x{2066}-\x{2069}]"
 
+
+
+def _instant(c: str) -> str:
+    return f"strftime(make_timestamp({_epoch(c)} * 1000000), '%Y-%m-%dT%H:%M:%SZ')"
+
+
+_OLDER = f"""with sp as (select ck, x.sk sk, x.start_line a, x.end_line z from (select {_key('claim_id')} ck, min({{'evidence_id': evidence_id, 'sk': {_key('snapshot_id')}, 'start_line': start_line, 'end_line': end_line}}) x from evidence_refs group by 1) where ck is not null),
+oc as (select *, case status when 'PROPOSED' then 'PROPOSED' when 'DISPUTED' then 'DISPUTED' else 'AUTHORIZED' end st, case access_policy when 'agent_accessible' then 'agent_accessible' when 'human_only' then 'human_only' else 'hidden' end ap,
+  coalesce({_instant('created_at')}, '2026-01-01T00:00:00Z') ca from {_CLAIMS})
+"""
+
 SQL: dict[str, str] = {
     "snapshots_listed": f"select snapshot_id, source_key, continuity, version from {_META} m join {_OWNERS} o using (source_id)",
     "snapshots_of_version": f"select snapshot_id, source_key, media_type from {_META} m join {_OWNERS} o using (source_id) where version = 2 and continuity = 'alder'",
@@ -118,4 +129,22 @@ select x.claim_id, x.evidence_id, x.i "position", sha256('{{"aggregate_type":"cl
     "long_fields": " union all ".join(f"select claim_id \"key\", '{f}' field, octet_length(encode({f})) bytes from {_CLAIMS} where octet_length(encode({f})) > {n}" for f, n in (("text", 120), ("rationale", 40), ("subject", 18), ("predicate", 8), ("object_value", 14), ("proposed_by", 10), ("proposal_model", 10))),
     "proposal_texts": f"select claim_id, case when length(text) % 3 = 0 or {_blank('text')} then concat_ws(' ', subject, predicate, object_value) else text end \"text\" from {_CLAIMS}",
     "legacy_status": "select case o_orderstatus when 'F' then 'AUTHORIZED' when 'O' then 'PROPOSED' else 'DISPUTED' end status, count(*) n from orders group by 1",
+    "converted_claims": _OLDER + f"""select claim_id, persona_id, coalesce(case when length(text) % 2 = 0 and text <> '' then text end, concat_ws(' ', nullif(subject, ''), nullif(predicate, ''), nullif(object_value, ''))) "text", nullif(predicate, '') predicate,
+  {_instant('valid_from')} valid_from, {_instant('valid_to')} valid_to, {_instant('knowledge_from')} knowledge_from, ap access_policy, round(least(1.0, greatest(0.0, coalesce(confidence * 1.25, 1.0))), 6) confidence, st status, 'migration' proposed_by, ca created_at, ca updated_at from oc""",
+    "converted_decisions": _OLDER + "select 'dec_' || substr(sha256('migration' || chr(31) || claim_id), 1, 24) decision_id, claim_id, 'PROPOSED' from_status, st to_status, 'migration' reviewer, ca decided_at from oc where st <> 'PROPOSED'",
+    "converted_evidence": _OLDER + f""", ls as (select snapshot_id, max(len({_lines('content')})) n from source_snapshots group by 1),
+x as (select claim_id, ls.snapshot_id, coalesce(sp.a, 1) a, coalesce(sp.z, sp.a, 1) z, n from oc join sp on lower(claim_id) = sp.ck join ls on sp.sk = lower(ls.snapshot_id))
+select 'evr_' || substr(sha256(claim_id || chr(31) || snapshot_id || chr(31) || a || chr(31) || z), 1, 24) evidence_id, claim_id, snapshot_id, a start_line, z end_line from x where a >= 1 and a <= z and z <= n""",
+    "converted_events": """select cast(event_id as varchar) event_id, cast(user_id as varchar) persona_id, 'default' continuity, case event_type when 'error' then 'narrative' else event_type end event_type, 'event ' || event_id title,
+  case event_id % 3 when 0 then props when 1 then '{"legacy_value":"no json"}' else '{}' end details_json, 'human_only' access_policy, '2026-01-01T00:00:00Z' created_at from events""",
+    "missing_entries": f"""select row_number() over (order by coalesce({_epoch('created_at')}, -1099511627776), claim_id) - 1 n, 'led_' || substr(sha256('claim.proposed' || chr(31) || claim_id), 1, 24) entry_id, claim_id aggregate_id, '{{"persona_id":"' || persona_id || '"}}' payload_json from {_CLAIMS} where not length(persona_id) > 6""",
+    "claim_shape_issues": f"""with c as (select claim_id, case when length(text) % 5 = 0 then ' ' else text end t, confidence + 0.25 f, persona_id, continuity from {_CLAIMS})
+select 'TEXT_REQUIRED' code, claim_id "key" from c where t is null or trim(t) = '' union all select 'CONFIDENCE_RANGE', claim_id from c where not coalesce(f between 0 and 1, false) union all select 'PERSONA_REQUIRED', claim_id from c where coalesce(trim(persona_id), '') = '' union all select 'CONTINUITY_REQUIRED', claim_id from c where coalesce(trim(continuity), '') = ''""",
+    "payload_claims": f"select claim_id, persona_id, subject, cast(null as varchar) \"text\", confidence, 'PROPOSED' status, 'model:any' proposed_by from {_CLAIMS}",
+    "clock_steps_back": """with x as (select user_id, epoch_us(ts) us, event_id + case when event_id % 7 = 0 then -40 else 0 end seq from events), y as (select *, lag(seq) over (partition by user_id order by us, seq) was from x)
+select user_id, seq from y where was >= seq""",
+    "opening_problems": """with g as (select user_id, count(*) filter (event_type = 'signup') n, min(event_id) filter (event_type = 'signup') a, min(event_id) filter (event_type is distinct from 'signup') r from events group by 1)
+select user_id, case when n = 0 then 'OPENING_MISSING' when n > 1 then 'OPENING_REPEATED' else 'OPENING_LATE' end problem from g where n <> 1 or r < a""",
+    "beyond_scope": f"with c as (select * from {_CLAIMS}) select distinct persona_id, continuity, predicate from c where status <> 'AUTHORIZED' and not exists (select 1 from c o where o.status = 'AUTHORIZED' and o.persona_id = c.persona_id and o.continuity = c.continuity and o.predicate = c.predicate)",
+    "over_ceilings": "with t as (" + " union all ".join(f"select '{t}' table_name, count(*) n from {t}" for t in ("sources", "source_snapshots", "claim_proposals", "evidence_refs", "legacy_records")) + ") select * from t where n > 500 union all select '', cast(sum(n) as bigint) from t having sum(n) > 2000",
 }

@@ -59,6 +59,13 @@ def read_texts(spark: SparkSession, path: str, encoding: str | None = None) -> D
     return out.withColumn("problem", problem)
 
 
+def texts_in_memory(spark: SparkSession, rows: list[tuple[str, str, str]]) -> DataFrame:
+    """The columns of read_texts for a few texts at hand: (path, media_type, content)."""
+    df = spark.createDataFrame(rows, "path string, media_type string, content string")
+    size = F.octet_length("content").cast("bigint")
+    return df.select("path", "media_type", size.alias("n_bytes"), F.when(size <= MAX_FILE_BYTES, F.col("content")).alias("content"), F.when(size > MAX_FILE_BYTES, "FILE_TOO_LARGE").alias("problem"))
+
+
 def unsafe_offset(content: Column) -> Column:
     """0-based place of the first unsafe character, null when there is none."""
     at = F.regexp_instr(content, F.lit(UNSAFE))

@@ -6,8 +6,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import audit as A, reads, report as P
-from ledgerloom.sources import catalog as C, strict_json as J
+from ledgerloom.operators import audit as A, constraints as K, legacy as G, reads, replay as R, report as P
+from ledgerloom.sources import catalog as C, ingest, strict_json as J
 
 
 def _sha(x):
@@ -211,3 +211,49 @@ def test_texts_for_reports(spark):
     assert {tuple(r) for r in C.over_limits(f, "k", {"text": 5, "subject": 3}).collect()} == {("a", "text", 6), ("b", "subject", 4)}
     t = spark.createDataFrame([(" ", "s", "p", "o"), ("x", "s", "p", "o"), (None, "s", None, "o")], "t string, s string, p string, o string")
     assert [r[0] for r in t.select(C.proposal_text(*[F.col(c) for c in "tspo"])).collect()] == ["s p o", "x", "s o"]
+
+
+def test_older_claims_with_gaps(spark):
+    rows = [("a", "says", None, "s9", "2", None, "bad", "x"), ("a", "says", None, "s9", "2", None, "bad", "x"), ("b", "", "denied", "s1", None, "3", "-2", None), (None, "z", None, None, None, None, None, None), ("c", None, "odd", "gone", "1", "1", None, "none")]
+    older = spark.createDataFrame(rows, "Id string, Statement string, STATUS string, source_id string, line_start string, line_end string, confidence string, access string").withColumn("text_extra", F.lit(1))
+    snaps = spark.createDataFrame([("s1", "n1", 3), ("s9", "n9", 1)], "old_id string, snapshot_id string, line_count bigint")
+    c, d, e = G.converted_claims(older, snaps, "2026-01-01T00:00:00Z")
+    got = {r.claim_id: r for r in c.collect()}
+    assert set(got) == {"a", "b", "c"}
+    assert [(got[k].status, got[k].access_policy, got[k].confidence, got[k].text) for k in "abc"] == [("AUTHORIZED", "hidden", 1.0, "says"), ("REJECTED", "agent_accessible", 0.0, ""), ("DISPUTED", "hidden", 1.0, "")]
+    assert d.count() == 3 and [(r.claim_id, r.snapshot_id, r.start_line, r.end_line) for r in e.collect()] == [("b", "n1", 1, 3)]
+    c2, _, e2 = G.converted_claims(older.limit(0), snaps, "2026-01-01T00:00:00Z")
+    assert c2.count() == e2.count() == 0
+    v = spark.createDataFrame([("1", "{\"a\": 1}"), ("2", "text"), ("2", "text"), (None, "x"), ("3", None)], "id string, metadata string")
+    assert {r.event_id: r.details_json for r in G.converted_events(v, "2026-01-01T00:00:00Z").collect()} == {"1": '{"a": 1}', "2": '{"legacy_value":"text"}', "3": "{}"}
+
+
+def test_entries_to_append_are_numbered(spark):
+    rows = spark.createDataFrame([("b", "2024-01-02"), ("a", "2024-01-02"), ("c", "2023-01-01"), ("d", None), ("e", "2020")], "k string, created_at string")
+    have = spark.createDataFrame([("t", "x", "e"), ("other", "x", "b")], "event_type string, aggregate_type string, aggregate_id string")
+    got = sorted(G.missing_entries(rows, "k", have, "t", "x", F.lit("{}")).collect(), key=lambda r: r.n)
+    assert [(r.n, r.aggregate_id) for r in got] == [(0, "d"), (1, "c"), (2, "a"), (3, "b")]
+    assert G.missing_entries(rows.limit(0), "k", have, "t", "x", F.lit("{}")).count() == 0
+
+
+def test_orders_and_openings(spark):
+    log = spark.createDataFrame([("a", 1, 5, "open"), ("a", 2, 4, "x"), ("a", 9, 6, "x"), ("b", 1, 1, "x"), ("b", 1, 2, "open"), ("c", 1, 1, "x"), ("d", 1, 1, "open"), ("d", 2, 2, "open"), (None, 1, 1, "open")], "k string, at bigint, seq bigint, kind string")
+    for width in (2, 100):
+        assert [(r.k, r.seq) for r in R.out_of_order(log, "k", "at", "seq", width).collect()] == [("a", 4)]
+    assert {r.k: r.problem for r in R.not_first(log, "k", "seq", "kind", "open").collect()} == {"a": "OPENING_LATE", "b": "OPENING_LATE", "c": "OPENING_MISSING", "d": "OPENING_REPEATED"}
+    assert R.not_first(log.limit(0), "k", "seq", "kind", "open").count() == 0
+
+
+def test_scopes_payloads_and_single_rows(spark):
+    p = spark.createDataFrame([("1", '{"text": "t", "status": "AUTHORIZED", "confidence": 0.5}'), ("2", "no"), ("3", None)], "k string, p string")
+    got = {r.k: r for r in K.payload_rows(p, "k", "p", {"status": "PROPOSED"}).collect()}
+    assert (got["1"].text, got["1"].confidence, got["1"].status) == ("t", 0.5, "PROPOSED") and got["2"].text is None and got["3"].status == "PROPOSED"
+    assert {tuple(r) for r in K.outside(p, p.where("k <> '2'"), ["k"]).collect()} == {("2",)}
+    assert {tuple(r) for r in K.over_ceilings({"p": p, "none": p.limit(0)}, 2, 2).collect()} == {("p", 3), ("", 3)}
+    assert reads.find(p, "k", " 1 ").p.startswith("{")
+    with pytest.raises(reads.NotFound):
+        reads.find(p, "k", "9")
+    shape = spark.createDataFrame([("a", "p", "c", "t", 0.5), ("b", " ", None, "", None), ("c", "p", "c", "t", 1.5)], "claim_id string, persona_id string, continuity string, text string, confidence double")
+    assert {tuple(r) for r in K.broken_rows(shape, "claim_id", K.CLAIM_SHAPE).collect()} == {("PERSONA_REQUIRED", "b"), ("CONTINUITY_REQUIRED", "b"), ("TEXT_REQUIRED", "b"), ("CONFIDENCE_RANGE", "b"), ("CONFIDENCE_RANGE", "c")}
+    t = ingest.texts_in_memory(spark, [("a.txt", "text/plain", "é"), ("b.txt", "text/plain", "")]).collect()
+    assert [(r.n_bytes, r.content, r.problem) for r in t] == [(2, "é", None), (0, "", None)]
