@@ -28,6 +28,12 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_pairs(_span_records(spark, d))
 
 
+def p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    """In how many groups of records with a common passage each record is, and how many records the largest has."""
+    g = spans.shared_groups(_span_records(spark, d))
+    return g.groupBy("key").agg(F.count("*").alias("groups"), F.max("n").alias("most_records"))
+
+
 def p4_shared(spark: SparkSession, d: str) -> DataFrame:
     """How much of each record is shared elsewhere."""
     return spans.shared_coverage(_span_records(spark, d))
@@ -89,7 +95,7 @@ def p9_corpus(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy("subject").agg(F.sum("hits").alias("sentences"), F.sum(deals).alias("documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p4_found, p4_shared, p7_containers, p7_fill, p7_shares, p8_mix, p8_shares, p9_found, p9_corpus)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p4_found, p4_groups, p4_shared, p7_containers, p7_fill, p7_shares, p8_mix, p8_shares, p9_found, p9_corpus)}
 _EOL = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
 _PARTS = f"regexp_split_to_array(content, '{_EOL}')"
 _CITED = r"nullif(lower(regexp_replace(e.snapshot_id, '^[\s\x0b\x1c-\x1f\x{85}\x{a0}]+|[\s\x0b\x1c-\x1f\x{85}\x{a0}]+$', '', 'g')), '')"
@@ -106,6 +112,9 @@ select snapshot_id, 0::bigint line_no from o union all select snapshot_id, i fro
     "p4_found": f"""{_RUNS} w as (select distinct probe, "key", "owner", h from win where h in (select h from hot)),
 g as (select h, list(distinct "key" order by "key") ks from w group by h), one as (select min(h) h from g group by ks)
 select distinct a."key" key_a, b."key" key_b from (select * from w where h in (select h from one)) a join w b on a.h = b.h and a."key" < b."key" and a."owner" <> b."owner" and not (a.probe and b.probe)""",
+    "p4_groups": f"""{_RUNS} w as (select distinct probe, "key", h from win where h in (select h from hot)),
+g as (select list(distinct "key" order by "key") ks from w group by h having not bool_and(probe)), u as (select distinct ks from g)
+select "key", count(*) "groups", max(n) most_records from (select unnest(ks) "key", len(ks) n from u) group by 1""",
     "p4_shared": f"""{_RUNS} p as (select "key", i from win where h in (select h from hot)),
 c as (select "key", sum(least(180, coalesce(nx - i, 180))) shared_chars from (select *, lead(i) over (partition by "key" order by i) nx from p) group by 1)
 select c."key", length(t) n_chars, cast(shared_chars as bigint) shared_chars, shared_chars / length(t) "share" from c join rec using ("key")""",

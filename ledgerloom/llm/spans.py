@@ -309,27 +309,39 @@ def shared_paths(records: DataFrame, min_chars: int = 180, scratch: Scratch | No
     return Shared(records, paths, min_chars, bases, scratch)
 
 
-def shared_pairs(records: DataFrame, min_chars: int = 180, scratch: Scratch | None = None) -> DataFrame:
-    """(key_a, key_b), key_a < key_b: records of different owners with an identical run of min_chars characters.
+def shared_groups(records: DataFrame, min_chars: int = 180, scratch: Scratch | None = None) -> DataFrame:
+    """group, key, owner, probe, rec, n: the records of each group, n of them, that have a run of min_chars characters in
+    common, one group for each set of records, however many runs they share.
 
-    records: key, probe (boolean), rec, owner, text. Two probes are never paired, so probes (quotes) only meet full
-    records. Rows that repeat a rec count once; null and shorter texts share nothing; ties and repeats inside a text
-    change nothing. Owner null never differs from anything, so such records should be left out before.
+    Two records of different owners share a run if and only if they are together in some group; so this is the whole
+    result in rows that grow with the members, not with their pairs. Only groups of several owners come out. Input and
+    edge cases as for shared_pairs (a group of probes alone is none).
     """
     s = shared_paths(records, min_chars, scratch)
     scratch = s.scratch
     who = scratch.save(s.paths.select("rec").distinct().join(records.select("rec", "owner", "probe", "key"), "rec").dropDuplicates(["rec"]))
     runs = scratch.save(s.runs(once=True))
-    owned = runs.join(who.select("rec", "owner"), "rec")
-    # runs with the same members are one group: keep one of them
-    sig = owned.groupBy("h1", "h2").agg(F.min("owner").alias("lo"), F.max("owner").alias("hi"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("rec")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "rec")).alias("y")).where("lo <> hi")
-    groups = sig.groupBy("n", "x", "y").agg(F.min(F.struct("h1", "h2")).alias("h")).select(F.col("h.h1").alias("h1"), F.col("h.h2").alias("h2"), "n")
-    members = scratch.save(runs.select("h1", "h2", "rec").join(groups, ["h1", "h2"]).join(who, "rec"))
+    owned = runs.join(who.select("rec", "owner", "probe"), "rec")
+    # runs with the same members are one group, known by two hashes over its members: keep one of them
+    sig = owned.groupBy("h1", "h2").agg(F.min("owner").alias("lo"), F.max("owner").alias("hi"), F.min("probe").alias("probes"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("rec")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "rec")).alias("y")).where("lo <> hi and not probes")
+    groups = sig.groupBy("n", "x", "y").agg(F.min(F.struct("h1", "h2")).alias("h")).select(F.col("h.h1").alias("h1"), F.col("h.h2").alias("h2"), "n", F.concat(F.lower(F.hex("x")), F.lit("-"), F.lower(F.hex("y"))).alias("group"))
+    return scratch.save(runs.select("h1", "h2", "rec").join(groups, ["h1", "h2"]).join(who, "rec").select("group", "key", "owner", "probe", "rec", "n"))
+
+
+def shared_pairs(records: DataFrame, min_chars: int = 180, scratch: Scratch | None = None) -> DataFrame:
+    """(key_a, key_b), key_a < key_b: records of different owners with an identical run of min_chars characters.
+
+    records: key, probe (boolean), rec, owner, text. Two probes are never paired, so probes (quotes) only meet full
+    records. Rows that repeat a rec count once; null and shorter texts share nothing; ties and repeats inside a text
+    change nothing. Owner null never differs from anything, so such records should be left out before. As many rows
+    as there are pairs; `shared_groups` has the same in fewer.
+    """
+    members = shared_groups(records, min_chars, scratch)
     # large groups are paired block against block
     blocks = F.ceil(F.col("n") / PAIR_BLOCK).cast("int")
-    left = members.select("h1", "h2", "key", "owner", "probe", F.pmod(F.xxhash64(F.lit(2), "rec"), blocks).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("j"))
-    right = members.select("h1", "h2", F.col("key").alias("key2"), F.col("owner").alias("owner2"), F.col("probe").alias("probe2"), F.pmod(F.xxhash64(F.lit(2), "rec"), blocks).cast("int").alias("j"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("i"))
-    pairs = left.join(right, ["h1", "h2", "i", "j"]).where("key < key2 and owner <> owner2 and not (probe and probe2)")
+    left = members.select("group", "key", "owner", "probe", F.pmod(F.xxhash64(F.lit(2), "rec"), blocks).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("j"))
+    right = members.select("group", F.col("key").alias("key2"), F.col("owner").alias("owner2"), F.col("probe").alias("probe2"), F.pmod(F.xxhash64(F.lit(2), "rec"), blocks).cast("int").alias("j"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("i"))
+    pairs = left.join(right, ["group", "i", "j"]).where("key < key2 and owner <> owner2 and not (probe and probe2)")
     return pairs.select(F.col("key").alias("key_a"), F.col("key2").alias("key_b")).distinct()
 
 

@@ -193,3 +193,16 @@ def test_numbers_of_records_are_not_shared(spark, monkeypatch):
     rows = spark.createDataFrame([(f"k{i % 40}", i % 2 == 0) for i in range(80)], "key string, probe boolean")
     got = S.numbered(rows, rows, Scratch(spark)).distinct().collect()
     assert len(got) == len({r.rec for r in got}) == len({(r.key, r.probe) for r in got})
+
+
+def test_groups_stand_for_their_pairs(spark):
+    a, b = "common words that stand in many of the records, word for word, " * 4, "another passage that is shared by some of them and no others at all, " * 4
+    rows = [(f"k{i}", False, i, i // 2, (a if i % 3 else "") + f" own text {i} " + (b if i % 2 else "")) for i in range(12)] + [("q1", True, 100, 50, a), ("q2", True, 101, 51, a), ("q3", True, 102, 52, "only quotes have this sentence, and both have it alike " * 5), ("q4", True, 103, 53, "only quotes have this sentence, and both have it alike " * 5)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    g = S.shared_groups(df).collect()
+    members = {}
+    for r in g:
+        members.setdefault(r.group, []).append(r)
+    assert all(len(m) == m[0].n and len({x.owner for x in m}) > 1 for m in members.values()) and len({frozenset(x.key for x in m) for m in members.values()}) == len(members)
+    pairs = {tuple(sorted((x.key, y.key))) for m in members.values() for x in m for y in m if x.owner != y.owner and not (x.probe and y.probe)}
+    assert pairs == {tuple(r) for r in S.shared_pairs(df).collect()} and not {"q3", "q4"} & {r.key for r in g}
