@@ -217,7 +217,7 @@ def test_cli(spark, tmp_path, capsys):
     assert cli.main(["list"]) == 0 and "p2_found" in capsys.readouterr().out
     assert cli.main(["run", "nothing", str(tmp_path)]) == 2
     (tmp_path / "a.md").write_text("a‮b\n")
-    assert cli.main(["texts", str(tmp_path)]) == 3 and "UNSAFE_CONTROL 1" in capsys.readouterr().out
+    assert cli.main(["texts", str(tmp_path)]) == 3 and '"at": 1, "code": "UNSAFE_CONTROL"' in capsys.readouterr().out
 
 
 def test_upsert_continues_chains(spark):
