@@ -117,8 +117,11 @@ _SPAN = ["evidence_id", "start_line", "end_line", "start_char", "end_char", "quo
 def evidence(of_claims: DataFrame, of_events: DataFrame | None = None, *, snapshot_id: str | None = None, claim_id: str | None = None, event_id: str | None = None) -> DataFrame:
     """Evidence of claims and of events in one list (kind, owner_key), by snapshot, lines and id; redeliveries once.
 
-    Naming a claim leaves out evidence of events and the other way round.
+    Naming a claim leaves out evidence of events and the other way round; naming both is refused.
     """
+    if claim_id is not None and event_id is not None:
+        raise TypeError("name a claim or an event")
+
     def side(df: DataFrame, kind: str, owner: str) -> DataFrame:
         rows = df.select(F.lit(kind).alias("kind"), reference_key(F.col(owner)).alias("owner_key"), reference_key(F.col("snapshot_id")).alias("snapshot_key"), *_SPAN)
         return rows.dropDuplicates(["evidence_id"])
@@ -128,6 +131,8 @@ def evidence(of_claims: DataFrame, of_events: DataFrame | None = None, *, snapsh
         parts.append(_equal(side(of_claims, "claim", "claim_id"), owner_key=claim_id and claim_id.strip().lower()))
     if of_events is not None and claim_id is None:
         parts.append(_equal(side(of_events, "event", "event_id"), owner_key=event_id and event_id.strip().lower()))
+    if not parts:
+        raise TypeError("evidence of events is asked for, and there is no table of it")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -57,6 +57,9 @@ def test_evidence_of_claims_and_events(spark):
     assert [r.evidence_id for r in reads.evidence(c, e, event_id="v1").collect()] == ["e3", "x"]
     assert [r.evidence_id for r in reads.evidence(c, e, claim_id="C1").collect()] == ["e1"]
     assert reads.find_evidence(c, e, "e3").kind == "event"
+    for wrong in (lambda: reads.evidence(c, e, claim_id="c1", event_id="v1"), lambda: reads.evidence(c, None, event_id="v1")):
+        with pytest.raises(TypeError):
+            wrong()
     with pytest.raises(reads.Ambiguous):
         reads.find_evidence(c, e, "x")
 
