@@ -1,8 +1,8 @@
 """Subject areas of documents.
 
 1. Each text becomes sentences of hashed words; words are weighted by how few texts of the same language have them,
-   projected to DIM dimensions and normalised. Bisecting k-means on a bounded sample of these document vectors gives
-   the leaves, and every document is put into its nearest leaf.
+   projected to DIM dimensions and normalised. Bisecting k-means on all of these document vectors (see `bisecting`)
+   gives the leaves, and every document is put into its nearest leaf.
 2. The words that a leaf's documents have more often than their language are its discriminative terms. Leaves are
    labelled by the hand labels that fall on them and on leaves of like terms, and by words of like spelling in leaves
    of other languages; a label whose leaves do not hold most of what the leaf's terms say is taken back.
@@ -10,8 +10,8 @@
    The parts of the leaves of one label are added up, so a text can have several subjects. Leaves without a label
    (texts about nothing in particular, figures of speech) take part, so that their sentences go to no subject.
 
-Only the places of the leaves rest on a sample (SAMPLE documents). Document frequencies, leaves, terms and mixtures are
-of all documents. What reaches the driver is bounded: counts per language and hashed word, TERMS terms of each leaf.
+Nothing rests on a sample: document frequencies, leaves, the words that tell, terms and mixtures are of all documents.
+What reaches the driver is bounded: counts per language and hashed word, sums of leaves, TERMS terms of each leaf.
 """
 
 from __future__ import annotations
@@ -24,8 +24,11 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from ledgerloom.llm import bisecting
+from ledgerloom.llm.bisecting import _unit, bisected, raw, whole  # noqa: F401
 from ledgerloom.llm.sentences import LANGUAGES, language, sentences, words
 from ledgerloom.runtime import Scratch, slices
 
@@ -33,10 +36,6 @@ from ledgerloom.runtime import Scratch, slices
 BUCKETS = 1 << 20
 DIM = 128
 LEAVES = 192
-#: Documents whose vectors the places of the leaves are fitted on (all, where there are not more).
-SAMPLE = 20_000
-#: Rounds of moving the two centres of a split; a leaf of fewer documents is not split.
-MOVES, LEAST_LEAF = 8, 4
 #: Texts of a language that must have a word for it to count.
 LEAST_TEXTS = 3
 #: Words in more than this part of a language's texts, divided by the number of areas, say nothing about a subject
@@ -139,6 +138,10 @@ class Words:
         self.place = np.full(BUCKETS, -1, np.int32)
         self.place[self.used] = np.arange(self.size)
 
+    def common(self) -> np.ndarray:
+        """Words of enough texts that do not tell in a language."""
+        return (self.df >= LEAST_TEXTS) & ~self.telling
+
     def cells(self, b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """langs of the documents; doc, term, n: how many sentences of a document have a word in use."""
         doc, terms, _, _ = _flat(b)
@@ -184,103 +187,62 @@ def _projection(buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (x >> np.uint64(8)).astype(np.int64) % DIM, np.where(x & np.uint64(1), 1.0, -1.0)
 
 
-def _unit(v: np.ndarray) -> np.ndarray:
-    return v / np.maximum(np.linalg.norm(v, axis=-1, keepdims=True), 1e-12)
-
-
-def bisected(v: np.ndarray, leaves: int) -> np.ndarray:
-    """Centres of the leaves that bisecting k-means (cosine) splits unit vectors into: always the loosest leaf next.
+def _vectors(shared):
+    """id, v: the vectors of the documents in whole numbers; lang; cells: how many words in use a document has, and
+    common: those that are common in its language and do not tell."""
 
-    A split starts from two vectors far from each other. Leaves that cannot be split stay; no vectors, no leaves.
-    """
-    if not len(v):
-        return np.zeros((0, v.shape[1]), np.float32)
-    centres, of = [_unit(v.mean(0))], np.zeros(len(v), np.int64)
-    loose = [float((1 - v @ centres[0]).sum())]
-    while len(centres) < leaves and max(loose) > 1e-6:
-        i = int(np.argmax(loose))
-        own = np.flatnonzero(of == i)
-        x = v[own]
-        a = x[(x @ centres[i]).argmin()]
-        pair = np.stack([x[(x @ a).argmin()], a])
-        side = (x @ pair.T).argmax(1)
-        for _ in range(MOVES):
-            if len(own) < LEAST_LEAF or side.min() == side.max():
-                break
-            pair = _unit(np.stack([x[side == 0].mean(0), x[side == 1].mean(0)]))
-            side = (x @ pair.T).argmax(1)
-        if len(own) < LEAST_LEAF or side.min() == side.max():
-            loose[i] = 0.0
-            continue
-        of[own[side == 1]] = len(centres)
-        centres[i] = pair[0]
-        centres.append(pair[1])
-        loose[i] = float((1 - x[side == 0] @ pair[0]).sum())
-        loose.append(float((1 - x[side == 1] @ pair[1]).sum()))
-    return np.stack(centres).astype(np.float32)
-
-
-def _uneven(leaf: np.ndarray, langs: np.ndarray, doc: np.ndarray, terms: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """Which common words are spread over the leaves of their language unlike its words as a whole.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w: Words = shared.value
+        asked = w.common()
+        for b in slices(batches, "terms"):
+            langs, doc, terms, n = w.cells(b)
+            v = whole(w.vectors(langs, doc, terms, n))
+            on = asked[langs[doc], terms]
+            common = terms[on].astype(np.int32)
+            ends = np.searchsorted(doc[on], np.arange(len(langs) + 1))
+            own = [common[a:z].tobytes() for a, z in zip(ends, ends[1:])]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([x.tobytes() for x in v], pa.binary()), pa.array(langs.astype(np.int32)), pa.array(np.bincount(doc, minlength=len(langs)).astype(np.int32)), pa.array(own, pa.binary())], names=["id", "v", "lang", "cells", "common"])
 
-    Measured by the relative entropy of the two distributions, less what chance makes of it.
-    """
-    out = np.zeros(common.shape, bool)
-    k = int(leaf.max()) + 1 if len(leaf) else 0
-    for g in range(L):
-        mine = langs[doc] == g
-        if not mine.any() or not common[g].any():
-            continue
-        q = np.bincount(leaf[doc[mine]], minlength=k) / mine.sum()
-        asked = np.flatnonzero(common[g])
-        at = np.full(common.shape[1], -1)
-        at[asked] = np.arange(len(asked))
-        on = mine & (at[terms] >= 0)
-        n = np.bincount(at[terms[on]] * k + leaf[doc[on]], minlength=len(asked) * k).reshape(len(asked), k)
-        p = n / np.maximum(n.sum(1, keepdims=True), 1)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            d = np.where(n > 0, p * np.log(p / q), 0.0).sum(1)
-        out[g, asked] = d - ((n > 0).sum(1) - 1) / (2 * np.maximum(n.sum(1), 1)) > UNEVEN
-    return out
+    return run
 
 
-def _fit(shared, leaves: int):
-    """The centres of the leaves and the common words that tell all the same, from a sample of documents in one task."""
+def _spread(centres: np.ndarray):
+    """lang, leaf, term, n: partial counts of the documents with a common word; term -1 counts the words in use."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w: Words = shared.value
-        parts, ids, at = [], [np.zeros(0, np.int64)], 0
-        for b in slices(batches, "terms"):
-            ids.append(b.column("id").to_numpy())
-            langs, doc, terms, n = w.cells(b)
-            parts.append((langs, doc + at, terms.astype(np.int32), n.astype(np.int32)))
-            at += len(langs)
-        langs, doc, terms, n = (np.concatenate(x) for x in zip(*parts)) if parts else [np.zeros(0, np.int64)] * 4
-        # in the order of ids, so that the leaves do not hang on how rows came in
-        order = np.argsort(np.concatenate(ids), kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        langs, doc = langs[order], rank[doc]
-        cells = np.argsort(doc, kind="stable")
-        doc, terms, n = doc[cells], terms[cells], n[cells]
-
-        def placed() -> tuple[np.ndarray, np.ndarray]:
-            ends = np.searchsorted(doc, np.arange(0, len(langs) + 2_000, 2_000))
-            v = [w.vectors(langs[i : i + 2_000], doc[a:z] - i, terms[a:z], n[a:z]) for i, a, z in zip(range(0, len(langs), 2_000), ends, ends[1:])]
-            v = np.concatenate(v) if v else np.zeros((0, DIM + L), np.float32)
-            return bisected(v, leaves), v
-
-        centres, v = placed()
-        if len(v):
-            more = _uneven((v @ centres.T).argmax(1), langs, doc, terms, (w.df >= LEAST_TEXTS) & ~w.telling)
-            if more.any():
-                w = Words(w.used, w.df, w.n_docs, w.telling | more)
-                centres, v = placed()
-        yield pa.RecordBatch.from_arrays([pa.array([centres.tobytes()], pa.binary()), pa.array([np.packbits(w.telling).tobytes()], pa.binary())], names=["centres", "telling"])
+        c = centres.astype(np.float64).T
+        for b in slices(batches, "v"):
+            if not b.num_rows:
+                continue
+            leaf = (raw(b.column("v"), np.int32).reshape(b.num_rows, -1).astype(np.float64) @ c).argmax(1)
+            of = b.column("lang").to_numpy().astype(np.int64) * len(centres) + leaf
+            many = pc.binary_length(b.column("common")).to_numpy() // 4
+            cell, n = np.unique(np.repeat(of, many) * BUCKETS + raw(b.column("common"), np.int32), return_counts=True)
+            every = np.bincount(of, b.column("cells").to_numpy(), L * len(centres)).astype(np.int64)
+            some = np.flatnonzero(every)
+            of, term = np.divmod(cell, BUCKETS)
+            of, term, n = np.concatenate([of, some]), np.concatenate([term, np.full(len(some), -1)]), np.concatenate([n, every[some]])
+            yield pa.RecordBatch.from_arrays([pa.array((of // len(centres)).astype(np.int32)), pa.array((of % len(centres)).astype(np.int32)), pa.array(term.astype(np.int32)), pa.array(n.astype(np.int64))], names=["lang", "leaf", "term", "n"])
 
     return run
 
 
+def _uneven(vectors: DataFrame, centres: np.ndarray, shape: tuple[int, int], scratch: Scratch) -> np.ndarray:
+    """Which common words are spread over the leaves of their language unlike its words as a whole.
+
+    Measured by the relative entropy of the two distributions over all documents, less what chance makes of it.
+    """
+    counts = scratch.save(vectors.mapInArrow(_spread(centres), "lang int, leaf int, term int, n bigint").groupBy("lang", "leaf", "term").agg(F.sum("n").alias("n")))
+    q = counts.where("term < 0").select("lang", "leaf", (F.col("n") / F.sum("n").over(W.partitionBy("lang"))).alias("q"))
+    each = counts.where("term >= 0").join(F.broadcast(q), ["lang", "leaf"]).groupBy("lang", "term").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.log(F.col("n") / F.col("q"))).alias("x"), F.count("*").alias("m"))
+    d = F.col("x") / F.col("all") - F.log("all") - (F.col("m") - 1) / (2 * F.col("all"))
+    found = each.where(d > UNEVEN).select("lang", "term").toPandas()
+    scratch.drop(counts)
+    out = np.zeros(shape, bool)
+    out[found["lang"], found["term"]] = True
+    return out
+
+
 #: Distinct (leaf, word) pairs that a task holds before it hands on what it has counted.
 HELD = 2_000_000
 
@@ -546,13 +508,15 @@ def _spellings(tokens: DataFrame, buckets: dict[int, int]) -> dict[int, str]:
     return dict(best.select("term", "x.word").toPandas().itertuples(index=False))
 
 
-def subject_shares(docs: DataFrame, labels: DataFrame, areas: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", leaves: int = LEAVES, sample: int = SAMPLE, scratch: Scratch | None = None) -> DataFrame:
+def subject_shares(docs: DataFrame, labels: DataFrame, areas: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", leaves: int = LEAVES, sample: int | None = None, scratch: Scratch | None = None) -> DataFrame:
     """id, subject, hits, sentences: how many sentences of each document deal with each area (areas with none left out).
 
     * Areas are the trimmed lower-case subjects of `areas` (a fixed short list); labels of other areas or unknown
       documents are ignored, repeated ones count once. Without labels there are no rows.
     * Null, empty and sentence-less texts and rows without an id give no rows; repeated document rows give repeated
       results. Extra columns are ignored. Words are hashed to BUCKETS, so memory does not grow with the vocabulary.
+    * The leaves are fitted on all documents. `sample` (once: documents to fit them on) is taken for the sake of older
+      callers and has no effect.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark)
@@ -576,17 +540,20 @@ def subject_shares(docs: DataFrame, labels: DataFrame, areas: DataFrame, *, id_c
     df = np.zeros((L, len(used)))
     df[found["lang"], np.searchsorted(used, found["term"])] = found["n"]
     w = Words(used, df, n_docs, (df >= LEAST_TEXTS) & (df <= COMMON / len(names) * n_docs[:, None]))
-    shared = spark.sparkContext.broadcast(w)
-    # twice the sample bounds what the one task of the fit reads, whatever chance or repeated ids make of the share
-    part = min(1.0, sample / max(n_docs.sum(), 1))
-    some = tokens.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(part * (1 << 30))).limit(2 * sample)
-    fitted = some.repartition(1).mapInArrow(_fit(shared, leaves), "centres binary, telling binary").first()
-    centres = np.frombuffer(fitted["centres"], np.float32).reshape(-1, DIM + L)
-    k = len(centres)
-    if not k:
-        return empty
-    telling = np.unpackbits(np.frombuffer(fitted["telling"], np.uint8), count=df.size).reshape(df.shape).astype(bool)
-    w = Words(used, df, n_docs, telling)
+
+    def fitted() -> tuple[DataFrame, np.ndarray]:
+        made = tokens.mapInArrow(_vectors(spark.sparkContext.broadcast(w)), "id bigint, v binary, lang int, cells int, common binary")
+        vectors = scratch.save(made)
+        return vectors, bisecting.centres(vectors.select("id", "v"), DIM + L, leaves, scratch)
+
+    vectors, centres = fitted()
+    more = _uneven(vectors, centres, df.shape, scratch)
+    scratch.drop(vectors)
+    if more.any():
+        w = Words(used, df, n_docs, w.telling | more)
+        vectors, centres = fitted()
+        scratch.drop(vectors)
+    k, telling = len(centres), w.telling
     placed = scratch.save(tokens.mapInArrow(_placed(spark.sparkContext.broadcast((w, centres))), "id bigint, leaf int, term int, n bigint"))
     counts = scratch.save(placed.where("term is not null").groupBy("leaf", "term").agg(F.sum("n").alias("n")))
     sums = counts.where("term < 0").toPandas()
